@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecspark.llm import bpe, chat, langid, minhash, mixing, substring
+from vecspark.llm import bpe, chat, langid, minhash, mixing, substring, suffix
 
 #: Folder or file name of the byte-level vocabulary.
 VOCABULARY = "byte_bpe_50k.json"
@@ -32,6 +32,10 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.removals(table(spark, sf_dir, "documents")).drop("rest")
+
+
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.removals(table(spark, sf_dir, "documents"))
 

@@ -78,8 +78,8 @@ def uniform(key, seed: int, cells: int = 1 << 30):
 
 
 def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of a text column (null: empty) and the n + 1 offsets of its rows."""
-    column = pc.fill_null(column, "").cast(pa.large_string())
+    """The bytes of a text or binary column (null: empty) and the n + 1 offsets of its rows."""
+    column = column.cast(pa.large_binary()).fill_null(b"")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
