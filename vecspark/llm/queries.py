@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecspark.llm import bpe, chat, langid, minhash, mixing, substring, suffix
+from vecspark.llm import bpe, chat, covertree, forest, langid, minhash, mixing, substring, suffix
 
 #: Folder or file name of the byte-level vocabulary.
 VOCABULARY = "byte_bpe_50k.json"
@@ -20,6 +20,10 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def op1_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,10 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.perspectives(table(spark, sf_dir, "conversations"))
 
 
+def op9_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -54,4 +62,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat": chat.SQL}
+    return {"op8_chat": chat.SQL, "op9_covertree": covertree.SQL}
