@@ -15,18 +15,19 @@ from pyspark.sql import functions as F
 from vecspark.llm.shared import Stage
 
 
-def _least(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
+def _least(pairs: DataFrame, stage: Stage, name: str) -> DataFrame:
+    """(w, m): the least v of each u. Written, so that the join back can be split at nodes with many links."""
+    return stage.write(pairs.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")), name)
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, stage: Stage, name: str) -> DataFrame:
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = _least(both).select("w", F.least("w", "m").alias("m"))
-    return both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = _least(both, stage, name).select("w", F.least("w", "m").alias("m"))
+    return both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
-    joined = links.join(_least(links), F.col("u") == F.col("w"))
+def _small_star(links: DataFrame, stage: Stage, name: str) -> DataFrame:
+    joined = links.join(_least(links, stage, name), F.col("u") == F.col("w"))
     moved = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(joined.select("u", F.col("m").alias("v"))).distinct()
 
@@ -41,7 +42,8 @@ def components(links: DataFrame, stage: Stage, name: str = "links") -> DataFrame
         if now.n == 0 or tuple(now) == seen:
             break
         seen, k = tuple(now), k + 1
-        links = stage.write(_small_star(_large_star(links)), f"{name}{k}")
-        stage.drop(f"{name}{k - 1}")
+        large = stage.write(_large_star(links, stage, f"{name}{k}a"), f"{name}{k}b")
+        links = stage.write(_small_star(large, stage, f"{name}{k}c"), f"{name}{k}")
+        stage.drop(f"{name}{k - 1}", *(f"{name}{k}{x}" for x in "abc"))
     nodes = links.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return nodes.unionByName(links.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -125,6 +125,7 @@ def regions(reps: DataFrame, stage: Stage) -> DataFrame:
     while True:
         keyed = stage.write(_prefixes(rows, depth), f"prefix{depth}")
         counts = keyed.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("count"), F.min("id").alias("least")).where("count > 1")
+        counts = stage.write(counts, f"counts{depth}")  # of a table, not of the sum's own exchange, the join can be split
         keyed = stage.write(keyed.join(counts, F.col("key") == F.col("k")).drop("k"), f"shared{depth}")
         stage.drop(f"prefix{depth}")
         found.append(keyed.where(F.col("count") <= REGION).select(F.col("key").alias("region"), "id"))

@@ -259,11 +259,13 @@ def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     both = stage.write(parse(own.select("doc_id", "text").join(alive, "doc_id"), length), "parse")
     parsed, pieces = both.where("at IS NOT NULL"), both.where("at IS NULL")
     phrase = stage.write(pieces.groupBy("p").agg(F.min("doc_id").alias("first"), F.min("v").alias("v")), "phrases")
-    trigger = phrase.groupBy(F.col("v").alias("t")).agg(F.min("first").alias("least"), F.count("*").alias("c")).where("c > 1").select("t")
+    # Sums are written before they are joined back: of a table, not of the sum's own exchange, a skewed join can be split.
+    trigger = stage.write(phrase.groupBy(F.col("v").alias("t")).count().where("count > 1").select("t"), "triggers")
     several = phrase.join(trigger, F.col("v") == F.col("t")).select(F.col("p").alias("q"), "first")
     bytes_ = pieces.select("p", "doc_id", "bytes").join(several, (F.col("p") == F.col("q")) & (F.col("doc_id") == F.col("first")))
     strings = stage.write(suffixes(bytes_.dropDuplicates(["p"]), length), "suffixes")
     earliest = strings.groupBy(F.col("run").alias("r")).agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x")).where("m < x").select("r", "m")
+    earliest = stage.write(earliest, "earliest")
     marked = strings.join(earliest, F.col("run") == F.col("r")).where("m < doc_id").select(F.col("p").alias("q"), F.col("doc_id").alias("d"), "k")
 
     whole = parsed.join(phrase.select(F.col("p").alias("q"), "first"), F.col("p") == F.col("q")).where("doc_id > first").select("doc_id", "at", "n")
