@@ -1,0 +1 @@
+"""Vector similarity search and its evaluation on Spark DataFrames."""
