@@ -43,10 +43,12 @@ def read_fasta(spark: SparkSession, path: str, strict: bool = False) -> DataFram
     else:
         # A cut-off record has lost its >, but for the first one of a file, which may follow other text.
         piece = spark.read.option("lineSep", "\n>").text(path)
+        # The number within a partition is taken for every row, before any row is looked at.
+        at = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+        piece = piece.select("value", at.alias("at"), (F.col("_metadata.file_block_start") == 0).alias("start"))
         first = F.regexp_extract(F.concat(F.lit("\n"), "value"), r"(?s)\n(>.*)", 1)
         has_mark = F.startswith("value", F.lit(">"))
-        start = F.col("_metadata.file_block_start") == 0
-        head = start & (F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0) & ~has_mark
+        head = F.col("start") & (F.col("at") == 0)
         whole = piece.select(F.when(has_mark, F.col("value")).when(head, first).otherwise(F.concat(F.lit(">"), "value")).alias("value"))
     return whole.select(F.explode(records(F.col("value"))).alias("r")).select("r.id", "r.sequence")
 
