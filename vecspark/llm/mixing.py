@@ -98,7 +98,8 @@ def plan(sources: DataFrame, block: int, shard: int, seed: int) -> DataFrame:
     s = s.withColumn("all_slots", F.sum("slots").over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
 
     runs = s.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / RUN))).alias("run"))
-    runs = runs.repartition("order", "run")
+    # A fixed number of partitions: the rows are few before they are opened, so they would be put together again.
+    runs = runs.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "order", "run")
     end = F.least(F.col("slots"), (F.col("run") + 1) * RUN) - 1
     j = runs.select("*", F.explode(F.sequence(F.col("run") * RUN, end)).alias("j"))
     j = j.withColumn("pass", F.floor(F.col("j") / F.col("blocks"))).withColumn("at", F.col("j") % F.col("blocks"))
@@ -135,7 +136,7 @@ def takes(docs: DataFrame, sources: DataFrame, block: int = BLOCK, shard: int =
     last = F.floor((F.col("start") + F.col("size") - 1) / block)
     pieces = docs.where("size > 0").select(F.col("order").alias("o"), "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), last)).alias("b"))
     slots = plan(sources, block, shard, seed)
-    both = pieces.join(slots, (F.col("o") == F.col("order")) & (F.col("b") == F.col("block")))
+    both = pieces.join(slots.hint("shuffle_merge"), (F.col("o") == F.col("order")) & (F.col("b") == F.col("block")))
     lo = F.greatest(F.col("b") * block, F.col("start")) - F.col("start")
     hi = F.least(F.col("b") * block + F.col("words"), F.col("start") + F.col("size")) - F.col("start")
     return both.select("order", "start", "pass", lo.alias("lo"), hi.alias("hi"), "shard", "slot").where("hi > lo")
