@@ -28,7 +28,9 @@ from pyspark.sql import DataFrame
 from vecspark.llm.shared import uniform
 from vecspark.llm.vectors import best, clean, matrix, searched
 
-TREES, DEPTH, SHARE, SAMPLE, SEED = 32, 9, 0.5, 16_384, 11
+TREES, DEPTH, SHARE, SAMPLE, SEED = 32, 6, 0.5, 16_384, 11
+#: Queries whose scores in a shard are made at once; only candidates are ranked.
+CHUNK = 256
 #: Candidates in a shard for each neighbour asked for, at least.
 FACTOR = 64
 
@@ -44,7 +46,7 @@ class Forest:
         self.cuts = np.zeros((trees, inner))
         for t in range(trees):
             at = np.zeros(len(sample), np.int64)
-            for _ in range(depth):
+            for _ in range(depth if len(sample) else 0):
                 p = np.einsum("ij,ij->i", sample, self.normals[t][at])
                 order = np.argsort(at, kind="stable")
                 nodes, first = np.unique(at[order], return_index=True)
@@ -59,17 +61,30 @@ class Forest:
             at = 2 * at + 1 + (np.einsum("ij,ij->i", x, self.normals[t][at]) > self.cuts[t][at])
         return at - (2**self.depth - 1)
 
-    def search(self, q: np.ndarray, members: list[list[np.ndarray]], n: int, enough: float) -> np.ndarray:
+    def members(self, x: np.ndarray) -> list[list[np.ndarray]]:
+        """The rows in each leaf of each tree."""
+        out = []
+        for t in range(len(self.normals)):
+            leaf = self.leaves(x, t)
+            order = np.argsort(leaf, kind="stable")
+            out.append(np.split(order, np.searchsorted(leaf[order], np.arange(1, 2**self.depth))))
+        return out
+
+    def sides(self, queries: np.ndarray) -> np.ndarray:
+        """The signed distance of each query to each hyperplane: queries x trees x nodes."""
+        flat = queries @ self.normals.reshape(-1, queries.shape[1]).T
+        return flat.reshape(len(queries), *self.cuts.shape) - self.cuts
+
+    def search(self, sides: list[list[float]], members: list[list[np.ndarray]], n: int, enough: float) -> np.ndarray:
         """Whether each of n rows is in one of the best leaves, which hold ``enough`` rows together."""
         inner = self.normals.shape[1]
-        sides = (self.normals.reshape(-1, len(q)) @ q).reshape(-1, inner) - self.cuts
-        sides = sides.tolist()
         queue = [(0.0, t, 0) for t in range(len(sides))]
         got, seen = 0, np.zeros(n, bool)
         while queue and got < enough:
             far, t, node = heapq.heappop(queue)
+            own_sides = sides[t]
             while node < inner:
-                side = sides[t][node]
+                side = own_sides[node]
                 near = 2 * node + 1 + (side > 0)
                 heapq.heappush(queue, (far + side * side, t, 4 * node + 3 - near))
                 node = near
@@ -89,17 +104,14 @@ def nearest(rows: DataFrame, step: int = 20, k: int = 20, trees: int = TREES, de
     sent = data.sparkSession.sparkContext.broadcast(Forest(fit, trees, depth, seed))
 
     def shard(ids, x, query_ids, queries):
-        forest = sent.value
-        members = []
-        for t in range(len(forest.normals)):
-            leaf = forest.leaves(x, t)
-            order = np.argsort(leaf, kind="stable")
-            members.append(np.split(order, np.searchsorted(leaf[order], np.arange(1, 2**forest.depth))))
-        for i, q in enumerate(queries):
-            seen = forest.search(q, members, len(x), max(share * len(x), FACTOR * k)) & (ids != query_ids[i])
-            at = np.flatnonzero(seen)
-            scores = x[at] @ q
-            top = best(ids[at], scores, k)
-            yield i, ids[at][top], scores[top]
+        f = sent.value
+        members, enough = f.members(x), max(share * len(x), FACTOR * k)
+        for a in range(0, len(queries), CHUNK):
+            own = queries[a : a + CHUNK]
+            sides, scores = f.sides(own), own @ x.T  # one product for many queries is cheaper than to gather each one's rows
+            for i in range(len(own)):
+                at = np.flatnonzero(f.search(sides[i].tolist(), members, len(x), enough) & (ids != query_ids[a + i]))
+                top = at[best(ids[at], scores[i, at], k)]
+                yield a + i, ids[top], scores[i, top]
 
     return searched(data, d, step, k, "double", shard, "forest")
