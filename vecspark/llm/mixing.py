@@ -162,10 +162,10 @@ def mixed(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = S
     stage = Stage(docs.sparkSession, "mixed")
     d, sources = placed(docs, stage)
     parts = takes(d, sources, block, shard, seed).groupBy("order", "start", "pass")
-    parts = parts.agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("ranges"), F.sum(F.col("hi") - F.col("lo")).alias("n"))
+    parts = parts.agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("_ranges"), F.sum(F.col("hi") - F.col("lo")).alias("_n"))
     names = {"_id": F.col("doc_id"), "_source": F.col("source"), "_hash": F.col("hash"), "_size": F.col("size"), "_o": F.col("order"), "_at": F.col("start")}
     d = d.where("size > 0").select(*(c.alias(k) for k, c in names.items()))
-    parts = d.join(parts, (F.col("_o") == F.col("order")) & (F.col("_at") == F.col("start"))).select("_id", "_source", "_hash", "_size", "ranges", "n")
+    parts = d.join(parts, (F.col("_o") == F.col("order")) & (F.col("_at") == F.col("start"))).select("_id", "_source", "_hash", "_size", "_ranges", "_n")
     parts = stage.write(parts, "parts")
     # Rows that agree in doc_id, source and text share one text, which the parts of all of them are cut from.
     keys = {"_k_id": F.col("doc_id").cast("long"), "_k_source": F.col("source").cast("string"), "_k_hash": F.xxhash64(F.col("text").cast("string"))}
@@ -173,8 +173,8 @@ def mixed(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = S
     same = F.col("_k_id").eqNullSafe(F.col("_id")) & F.col("_k_source").eqNullSafe(F.col("_source")) & (F.col("_k_hash") == F.col("_hash"))
     both = one.join(parts.hint("shuffle_merge"), same)
     words = F.split(F.btrim(F.col("text").cast("string"), F.lit(SPACES)), r"[\x20\x09-\x0D]+")
-    cut = F.array_join(F.flatten(F.transform("ranges", lambda r: F.slice(F.col("_words"), r.lo.cast("int") + 1, (r.hi - r.lo).cast("int")))), " ")
-    both = both.withColumn("_words", F.when(F.col("n") < F.col("_size"), words)).withColumn("text", F.when(F.col("n") == F.col("_size"), F.col("text")).otherwise(cut))
+    cut = F.array_join(F.flatten(F.transform("_ranges", lambda r: F.slice(F.col("_words"), r.lo.cast("int") + 1, (r.hi - r.lo).cast("int")))), " ")
+    both = both.withColumn("_words", F.when(F.col("_n") < F.col("_size"), words)).withColumn("text", F.when(F.col("_n") == F.col("_size"), F.col("text")).otherwise(cut))
     if "n_chars" in docs.columns:
         both = both.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return both.select(*(F.col(f"`{c}`") for c in docs.columns))
