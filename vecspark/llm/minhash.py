@@ -5,10 +5,11 @@ signature has 64 minima. The forest has 16 orders of the signature, order t
 beginning with its own four minima; a tree node is a prefix of an order.
 Documents that share a prefix are neighbours by longest common prefix. The depth
 adapts to the region: a prefix that more than ``REGION`` documents share is
-extended by twice its length, so that a dense region is cut finely and a sparse
-one is searched at depth 4. Regions of documents that agree in the whole
-signature and are still too large are cut by a hash of the id; the least
-document of the region stands in each part.
+extended to twice its length, so that a dense region is searched at several
+depths and a sparse one at depth 4. A document may leave a dense region on the
+way down, as the only one with its longer prefix; so at each depth a region
+that is too large is also cut into parts by a hash of the id, another cut in
+each order, and the least document of the region stands in each part.
 
 Documents with one and the same set are first drawn together, and the least id
 stands for them. Within a region signatures are compared, and pairs that could
@@ -39,7 +40,7 @@ from vecspark.llm.components import components
 from vecspark.llm.shared import Stage, grams, mixed, prefix_sums, signed, sliced, small_side, spans_hash, texts, words
 
 HASHES, ORDERS, DEPTH = 64, 16, 4
-REGION = 256
+REGION = 512
 AGREE = 37
 _rng = np.random.default_rng(5)
 _MULTIPLY = (_rng.integers(0, 1 << 63, HASHES, np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -132,10 +133,10 @@ def regions(reps: DataFrame, stage: Stage) -> DataFrame:
         dense = keyed.where(F.col("count") > REGION)
         if dense.isEmpty():
             break
+        parts = F.ceil(F.col("count") / REGION)
+        part = dense.select(F.xxhash64("key", F.pmod(F.xxhash64("id", "key"), parts)).alias("region"), "id", "least")
+        found += [part.select("region", "id"), part.select("region", F.col("least").alias("id"))]
         if depth == HASHES:
-            parts = F.ceil(F.col("count") / REGION)
-            part = dense.select(F.xxhash64("key", F.pmod(F.xxhash64("id"), parts)).alias("region"), "id", "least")
-            found += [part.select("region", "id"), part.select("region", F.col("least").alias("id"))]
             break
         rows, depth = dense.select("tree", "id").join(reps.select("id", "sig"), "id"), depth * 2
     out = found[0]
