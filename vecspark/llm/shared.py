@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -24,6 +25,9 @@ SLICE_BYTES = 1 << 21
 BROADCAST_ROWS = 500_000
 
 
+_LIBC = ctypes.CDLL(None)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
@@ -51,9 +55,13 @@ class Stage:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """The table, read from its files; with ``by``, in a folder for each value of that column."""
         path = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(by) if by else writer).parquet(path)
+        # Spark deletes the shuffle files of a finished job when the driver has collected the job's objects.
+        self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -86,9 +94,17 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def _release() -> None:
+    """Gives freed memory back to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def sliced(batches, column: str, most: int = SLICE_BYTES):
     """The record batches again in pieces of about ``most`` bytes of text."""
     for batch in batches:
+        _release()
         if not batch.num_rows:
             continue
         sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
@@ -97,6 +113,7 @@ def sliced(batches, column: str, most: int = SLICE_BYTES):
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b > a:
                 yield batch.slice(a, b - a)
+    _release()
 
 
 _SPACE = np.zeros(256, bool)

@@ -114,13 +114,14 @@ def _level(rows: DataFrame, window: int, before: int, length: int) -> DataFrame:
     return rows.select("rid", "weight", "text", "alive").mapInArrow(run, "rid long, weight int, found array<long>")
 
 
-def _alive(found: DataFrame, every: bool) -> DataFrame:
+def _alive(found: DataFrame, every: bool, stage: Stage, name: str) -> DataFrame:
     """(rid, alive): the values of rows (rid, weight, found) that occur at two places or more in all.
 
     Rows of weight 2 are their own copies; they are left out unless ``every``.
     """
     each = found.select("rid", "weight", F.explode("found").alias("v"))
     repeated = each.groupBy(F.col("v").alias("k")).agg(F.sum("weight").alias("n")).where("n > 1").select("k")
+    repeated = stage.write(repeated, f"repeated_{name}")  # of a table, not of the sum's own exchange, the join can be split
     back = each if every else each.where("weight = 1")
     return back.join(repeated, F.col("v") == F.col("k")).groupBy("rid").agg(F.collect_set("v").alias("alive"))
 
@@ -176,13 +177,13 @@ def _cut(docs: DataFrame, window: int, base: int) -> tuple[DataFrame, DataFrame]
     scanned = stage.write(_scan(docs.select("doc_id", "h1", "h2", "text"), window, steps[0]), "scanned")
     groups = scanned.where(F.col("n_words") >= window).groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.first("found").alias("found"))
     groups = stage.write(groups.withColumn("rid", F.monotonically_increasing_id()).withColumn("weight", F.least("copies", F.lit(2)).cast("int")), "groups")
-    alive = stage.write(_alive(groups.select("rid", "weight", "found"), True), f"alive{steps[0]}")
+    alive = stage.write(_alive(groups.select("rid", "weight", "found"), True, stage, f"{steps[0]}"), f"alive{steps[0]}")
     some = groups.select("h1", "h2", "rid", "weight").join(alive.select("rid"), "rid", "left_semi")
     work = docs.select("h1", "h2", "text").join(some, ["h1", "h2"]).groupBy("h1", "h2").agg(*(F.first(k).alias(k) for k in ("rid", "weight", "text")))
     work = stage.write(work.drop("h1", "h2"), "work")
     for before, length in zip(steps, steps[1:], strict=False):
         found = stage.write(_level(work.join(alive, "rid"), window, before, length), f"found{length}")
-        alive = stage.write(_alive(found, length < window), f"alive{length}")
+        alive = stage.write(_alive(found, length < window, stage, f"{length}"), f"alive{length}")
         stage.drop(f"found{length}", f"alive{before}")
     cut = stage.write(_remove(work.where("weight = 1").join(alive, "rid"), window), "cut")
     stage.drop("work", f"alive{window}")
