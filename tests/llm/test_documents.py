@@ -34,6 +34,9 @@ def test_bpe_edges(spark):
     rows = [*edge_rows(), (20, "x" * 5000 + " " + "ab" * 700), (21, "<|endoftext|><|endoftext|>"), (22, " \r\n  　a'll 'S")]
     assert Counter(map(tuple, bpe.digests(frame(spark, rows), PATH).collect())) == bpe_expected(rows)
     assert bpe.digests(empty(spark), PATH).count() == 0
+    docs = frame(spark, rows)
+    both = bpe.decode(bpe.encode(docs, PATH), PATH).select("doc_id", "decoded").collect()
+    assert Counter(map(tuple, both)) == Counter((r[0], r[1] or "") for r in rows)
 
 
 def test_bpe_query(spark, sf):

@@ -4,7 +4,7 @@ A text is cut into words by the pattern of the vocabulary. A short word is held
 as two arrays, its parts and the ranks of adjacent parts; the least rank is
 looked for again and again, its boundary deleted and the ranks beside it
 refreshed. Long words keep a heap in place of the scan, with the same merges.
-Nothing is shuffled: a word's ids are kept by each worker.
+Nothing is shuffled: a word's ids are kept by each task.
 
 Defined cases: a null text is the empty text, with no ids. ``<|endoftext|>``
 and other special strings become their own id, as the library does by default.
@@ -28,10 +28,11 @@ from vecspark.llm.shared import sliced
 #: The pattern that byte-level vocabularies of this kind cut words by.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONG_WORD = 128
-KEPT_WORDS = 700_000
+#: Words whose ids a task keeps at most.
+KEPT_WORDS = 250_000
 NONE = 1 << 60
 #: Documents of a batch that the JVM gets back at once, in bytes of text.
-PIECE = 1 << 22
+PIECE = 1 << 21
 
 
 def byte_letters() -> dict[int, str]:
@@ -120,13 +121,14 @@ class Kept(dict):
         return ids
 
 
-_loaded: dict[int, tuple[Vocabulary, Kept]] = {}
+_loaded: dict[int, Vocabulary] = {}
 
 
-def _of(text: str) -> tuple[Vocabulary, Kept]:
+def _of(text: str) -> Vocabulary:
+    """The vocabulary of a file's text, read once by a worker."""
     key = hash(text)
     if key not in _loaded:
-        _loaded[key] = (v := Vocabulary(text), Kept(v))
+        _loaded[key] = Vocabulary(text)
     return _loaded[key]
 
 
@@ -153,23 +155,27 @@ def _vocabulary(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(file.read())
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens long and ids binary (little-endian unsigned 32-bit) of every whole text."""
+def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
+    """doc_id, n_tokens long and ids binary (little-endian unsigned 32-bit) of every whole text.
+
+    With ``decoded``, also the text that the ids give, made in the same pass.
+    """
     spec = _vocabulary(docs, path)
 
     def run(batches):
-        vocabulary, kept = _of(spec.value)
+        vocabulary = _of(spec.value)
+        kept = Kept(vocabulary)
         for batch in sliced(batches, "text", PIECE):
             ids = [encode_text(t or "", vocabulary, kept) for t in batch.column("text").to_pylist()]
             if len(kept) > KEPT_WORDS:
                 kept.clear()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                ["doc_id", "n_tokens", "ids"],
-            )
+            columns = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary())}
+            if decoded:
+                columns["decoded"] = pa.array([decode_ids(x, vocabulary) for x in ids], pa.string())
+            yield pa.RecordBatch.from_pydict(columns)
 
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return plain.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return plain.mapInArrow(run, "doc_id long, n_tokens long, ids binary" + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -177,7 +183,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     spec = _vocabulary(encoded, path)
 
     def run(batches):
-        vocabulary, _ = _of(spec.value)
+        vocabulary = _of(spec.value)
         for batch in sliced(batches, "ids", PIECE):
             decoded = [decode_ids(x or b"", vocabulary) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.string())], [*batch.schema.names, "decoded"])
@@ -188,6 +194,6 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text, encoded and decoded again."""
-    return decode(encode(docs, path), path).select(
+    return encode(docs, path, decoded=True).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
     )

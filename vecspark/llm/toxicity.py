@@ -37,7 +37,8 @@ from vecspark.llm.shared import Stage, sliced, uniform
 POSITIVE, NEGATIVE = 2500, 5000
 WINDOWS, AROUND, STEPS = 6, 10, 60
 FEATURES, LONGEST = 1 << 16, 20.0
-KEPT_WORDS = 500_000
+#: Words whose odds a task keeps at most, and bytes of text that it tags at a time.
+KEPT_WORDS, SLICE = 150_000, 1 << 20
 TOKEN = re.compile(r"\w+")
 
 
@@ -189,7 +190,7 @@ def learn(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, negative
     sample = plain.join(F.broadcast(chosen), "doc_id")
 
     def sketch(batches):
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", SLICE):
             words = [sorted({w.lower() for w in TOKEN.findall(t)}) for t in _texts(batch)]
             least = [str(sorted(zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in row)[:2]) for row in words]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(least, pa.string()), pa.array(words, pa.list_(pa.string())), batch.column("text")], ["doc_id", "toxic", "sketch", "words", "text"])
@@ -206,7 +207,7 @@ def learn(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, negative
     lexicon = frozenset(r.word for r in marked.orderBy(F.desc("z"), "word").limit(2000).collect())
 
     def windows(batches):
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", SLICE):
             rows, tags = [], []
             for text, toxic in zip(_texts(batch), batch.column("toxic").to_pylist(), strict=True):
                 tokens = TOKEN.findall(text)
@@ -227,7 +228,7 @@ def learn(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, negative
 
     def evidence(batches):
         tagger = Tagger(sent.value)
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", SLICE):
             _, found = tagger.tag(_texts(batch))
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found[:, 0]), pa.array(found[:, 1])], ["toxic", "top", "sum"])
 
@@ -252,7 +253,7 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
 
     def run(batches):
         tagger, w = Tagger(sent.value), sent.value["score"]
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", SLICE):
             texts = _texts(batch)
             marginals, found = tagger.tag(texts)
             s = 1 / (1 + np.exp(-(w[0] + found @ w[1:])))
