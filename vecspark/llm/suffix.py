@@ -13,15 +13,15 @@ exactly one phrase, and no phrase of a stretch is a proper prefix of another's.
 2. What is left is parsed: the dictionary has the distinct phrases with the least
    document of each, the parse the phrases of each document in order. A phrase
    that an earlier document has is repeated as a whole.
-3. Where a trigger has several phrases, the suffixes of the dictionary's phrases
-   are sorted to a depth of ``length`` bytes. A run of equal ones is a string of
-   the corpus; the least document of its phrases goes, by the run's hash, to the
-   other pieces of the dictionary, and the least of all comes back.
+3. Where a trigger has several phrases, the suffixes of its phrases are sorted to
+   a depth of ``length`` bytes. A run of equal ones is a string of the corpus,
+   and the least document of its phrases has it first. Equal strings have the
+   same trigger, so triggers are sorted apart; one with more than ``GROUP``
+   phrases is sorted in pieces, whose runs are put together by hash.
 4. The parse puts the marked suffixes in their places in each document.
 
-The order between different strings is not needed and not made: runs of the
-dictionary's pieces are put together by hash instead of merged in order. Texts
-that are equal as a whole are first drawn together.
+The order between strings of different triggers is not needed and not made.
+Texts that are equal as a whole are first drawn together.
 
 Defined cases: a null text is empty. Texts under ``length`` bytes keep all.
 Documents are compared by doc_id; a null doc_id comes after all others and
@@ -45,6 +45,10 @@ LENGTH, GRAM = 50, 20
 #: Bytes of text whose triggers one packed message holds.
 BATCH_BYTES = 1 << 25
 ONCE, TWICE, KNOWN = 0, 1, 2
+#: Phrases of one trigger that one task sorts; those of triggers with more are sorted in pieces.
+GROUP = 4096
+#: Bytes of text that are hashed at a time.
+SLICE = 1 << 20
 
 
 def _grams(sums: np.ndarray, n: int) -> np.ndarray:
@@ -98,7 +102,7 @@ def shared_triggers(docs: DataFrame, length: int) -> DataFrame:
 
     def send(batches):
         held, size, count = [], 0, 0
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", SLICE):
             data, offsets, _, g, least, inside = _parsed(batch, length)
             at = np.flatnonzero(chosen(g, least, inside, length - GRAM + 1))
             rows = np.searchsorted(offsets, at, "right") - 1
@@ -146,7 +150,7 @@ def parse(rows: DataFrame, length: int) -> DataFrame:
     """
 
     def run(batches):
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", SLICE):
             data, offsets, sums, _, least, inside = _parsed(batch, length)
             ok = inside & np.isin(least, batch.column("alive").flatten().to_numpy().view(np.uint64))
             new = ok.copy()
@@ -181,37 +185,86 @@ def parse(rows: DataFrame, length: int) -> DataFrame:
     return rows.select("doc_id", "text", "alive").mapInArrow(run, "doc_id long, v long, p long, at long, n long, bytes binary")
 
 
-def suffixes(phrases: DataFrame, length: int) -> DataFrame:
-    """(p, k, run, doc_id): suffix k of phrase p belongs to the run of equal strings of ``length`` bytes.
+def _sorted(column, length: int) -> tuple:
+    """The suffixes of a batch's phrases in order, to a depth of ``length`` bytes.
 
-    From rows (p, doc_id, bytes). The suffixes of a batch's phrases are sorted;
-    neighbours that agree in ``length`` bytes make a run.
+    Bytes, the start of each suffix, the phrase it is of, its place there, the
+    suffix array, and whether each in order begins a run of equal ones.
+    """
+    data, offsets = texts(column)
+    starts = np.concatenate([np.arange(a, b - length + 1) for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)])
+    rows = np.searchsorted(offsets, starts, "right") - 1
+    view = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, length)[starts])
+    array = np.argsort(view.view(f"V{length}").ravel(), kind="stable")
+    inner = view[array]
+    first = np.r_[True, (inner[1:] != inner[:-1]).any(axis=1)]
+    return data, starts, rows, starts - offsets[rows], array, first
+
+
+def marks_within(phrases: DataFrame, length: int) -> DataFrame:
+    """(q, d, k, n): suffixes k to k + n - 1 of phrase q, first in document d, start in an earlier document.
+
+    From rows (v, p, doc_id, bytes) with all phrases of each trigger v. The
+    phrases of one trigger come to one task, where their suffixes are sorted.
+    """
+
+    def answer(batch):
+        _, _, rows, k, array, first = _sorted(batch.column("bytes"), length)
+        ids = batch.column("doc_id").to_numpy()[rows]
+        least = np.empty(len(rows), np.int64)
+        least[array] = np.minimum.reduceat(ids[array], np.flatnonzero(first))[np.cumsum(first) - 1]
+        hit = least < ids
+        begin = hit.copy()
+        begin[1:] &= ~(hit[:-1] & (rows[1:] == rows[:-1]))
+        at = np.flatnonzero(begin)
+        stop = ~hit
+        stop[1:] |= rows[1:] != rows[:-1]
+        ends = np.flatnonzero(np.r_[stop, True])
+        n = ends[np.searchsorted(ends, at, "right")] - at
+        return pa.RecordBatch.from_arrays([batch.column("p").take(pa.array(rows[at])), pa.array(ids[at]), pa.array(k[at]), pa.array(n)], ["q", "d", "k", "n"])
+
+    def run(batches):
+        held = None  # the phrases of the last trigger, which may go on in the next batch
+        for batch in sliced(batches, "bytes", 1 << 20):
+            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
+            v = table.column("v").to_numpy()
+            cut = int(np.searchsorted(v, v[-1]))
+            if cut:
+                yield answer(table.slice(0, cut))
+            held = table.slice(cut)
+        if held is not None:
+            yield answer(held)
+
+    dealt = phrases.select("v", "p", "doc_id", "bytes").repartition("v").sortWithinPartitions("v")
+    return dealt.mapInArrow(run, "q long, d long, k long, n long")
+
+
+def marks_across(phrases: DataFrame, length: int, stage: Stage) -> DataFrame:
+    """As ``marks_within``, for triggers with too many phrases for one task.
+
+    Each batch sorts its suffixes and gives one row for each run and phrase; the
+    least documents of runs are put together by the hash of the run's string.
     """
 
     def run(batches):
         for batch in sliced(batches, "bytes", 1 << 19):
-            data, offsets = texts(batch.column("bytes"))
-            starts = np.concatenate([np.arange(a, b - length + 1) for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)])
-            rows = np.searchsorted(offsets, starts, "right") - 1
-            view = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, length)[starts])
-            array = np.argsort(view.view(f"V{length}").ravel(), kind="stable")  # the suffix array, to this depth
-            inner = view[array]
-            first = np.r_[True, (inner[1:] != inner[:-1]).any(axis=1)]
+            data, starts, rows, k, array, first = _sorted(batch.column("bytes"), length)
             names = spans_hash(prefix_sums(data), starts[array][first], starts[array][first] + length)
             runs = np.empty(len(starts), np.uint64)
             runs[array] = names[np.cumsum(first) - 1]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("p").take(pa.array(rows)), pa.array(starts - offsets[rows]), pa.array(signed(runs)), batch.column("doc_id").take(pa.array(rows))], ["p", "k", "run", "doc_id"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("p").take(pa.array(rows)), pa.array(k), pa.array(signed(runs)), batch.column("doc_id").take(pa.array(rows))], ["p", "k", "run", "doc_id"])
 
-    return phrases.select("p", "doc_id", "bytes").mapInArrow(run, "p long, k long, run long, doc_id long")
+    strings = stage.write(phrases.select("p", "doc_id", "bytes").mapInArrow(run, "p long, k long, run long, doc_id long"), "strings")
+    earliest = strings.groupBy(F.col("run").alias("r")).agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x")).where("m < x").select("r", "m")
+    marked = strings.join(stage.write(earliest, "earliest"), F.col("run") == F.col("r")).where("m < doc_id")
+    return marked.select(F.col("p").alias("q"), F.col("doc_id").alias("d"), "k", F.lit(1).cast("long").alias("n"))
 
 
 def _cut(rows: DataFrame, length: int) -> DataFrame:
     """(doc_id, h1, h2, n_removed, n_spans, kept_sha256, rest) of rows with marked (at, n) stretches."""
 
     def run(batches):
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", SLICE):
             data, offsets = texts(batch.column("text"))
             spans = batch.column("marks")
             at, n = (spans.flatten().field(k).to_numpy() for k in (0, 1))
@@ -255,25 +308,28 @@ def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     copies = later.where("later").drop("later")
     own = d.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).join(small_side(copies), ["doc_id", "h1", "h2"], "left_anti")
 
-    alive = shared_triggers(own, length).groupBy("doc_id").agg(F.collect_set("v").alias("alive"))
-    both = stage.write(parse(own.select("doc_id", "text").join(alive, "doc_id"), length), "parse")
-    parsed, pieces = both.where("at IS NOT NULL"), both.where("at IS NULL")
+    alive = stage.write(shared_triggers(own, length).groupBy("doc_id").agg(F.collect_set("v").alias("alive")), "alive")
+    both = parse(own.select("doc_id", "text").join(alive, "doc_id"), length).withColumn("kind", F.col("at").isNull().cast("int"))
+    both = stage.write(both, "parse", by="kind")
+    parsed, pieces = both.where("kind = 0"), both.where("kind = 1")
     phrase = stage.write(pieces.groupBy("p").agg(F.min("doc_id").alias("first"), F.min("v").alias("v")), "phrases")
     # Sums are written before they are joined back: of a table, not of the sum's own exchange, a skewed join can be split.
-    trigger = stage.write(phrase.groupBy(F.col("v").alias("t")).count().where("count > 1").select("t"), "triggers")
-    several = phrase.join(trigger, F.col("v") == F.col("t")).select(F.col("p").alias("q"), "first")
-    bytes_ = pieces.select("p", "doc_id", "bytes").join(several, (F.col("p") == F.col("q")) & (F.col("doc_id") == F.col("first")))
-    strings = stage.write(suffixes(bytes_.dropDuplicates(["p"]), length), "suffixes")
-    earliest = strings.groupBy(F.col("run").alias("r")).agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x")).where("m < x").select("r", "m")
-    earliest = stage.write(earliest, "earliest")
-    marked = strings.join(earliest, F.col("run") == F.col("r")).where("m < doc_id").select(F.col("p").alias("q"), F.col("doc_id").alias("d"), "k")
+    trigger = stage.write(phrase.groupBy(F.col("v").alias("t")).agg(F.count("*").alias("c")).where("c > 1"), "triggers")
+    several = phrase.join(trigger, F.col("v") == F.col("t")).select(F.col("p").alias("q"), "first", "c")
+    bytes_ = pieces.select("v", "p", "doc_id", "bytes").join(several, (F.col("p") == F.col("q")) & (F.col("doc_id") == F.col("first")))
+    bytes_ = stage.write(bytes_.select("v", "p", "doc_id", "bytes", "c"), "bytes")
+    marked = marks_within(bytes_.where(F.col("c") <= GROUP), length)
+    marked = marked.unionByName(marks_across(bytes_.where(F.col("c") > GROUP), length, stage))
+    marked = stage.write(marked.distinct(), "marked")
+    stage.drop("alive", "bytes", "strings", "earliest", "triggers", "parse/kind=1")
 
     whole = parsed.join(phrase.select(F.col("p").alias("q"), "first"), F.col("p") == F.col("q")).where("doc_id > first").select("doc_id", "at", "n")
-    part = parsed.join(marked, (F.col("p") == F.col("q")) & (F.col("doc_id") == F.col("d")))
-    part = part.select("doc_id", (F.col("at") + F.col("k")).alias("at"), F.lit(1).cast("long").alias("n"))
-    marks = whole.unionByName(part).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("marks"))
-    cut = stage.write(_cut(own.join(marks, "doc_id"), length).dropDuplicates(["doc_id", "h1", "h2"]), "cut")
-    stage.drop("parse", "suffixes", "phrases")
+    part = parsed.join(marked.withColumnRenamed("n", "marked_n"), (F.col("p") == F.col("q")) & (F.col("doc_id") == F.col("d")))
+    part = part.select("doc_id", (F.col("at") + F.col("k")).alias("at"), F.col("marked_n").alias("n"))
+    marks = stage.write(whole.unionByName(part).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("marks")), "marks")
+    marked_docs = own.join(small_side(marks.select("doc_id")), "doc_id", "left_semi")
+    cut = stage.write(_cut(marked_docs.join(marks, "doc_id"), length).dropDuplicates(["doc_id", "h1", "h2"]), "cut")
+    stage.drop("parse", "phrases", "marked", "marks")
 
     gone = copies.select("doc_id", "h1", "h2", F.lit(True).alias("gone"))
     out = seen.join(cut, ["doc_id", "h1", "h2"], "left").join(gone, ["doc_id", "h1", "h2"], "left")
