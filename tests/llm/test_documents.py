@@ -112,6 +112,21 @@ def test_minhash_dense_region(spark, monkeypatch):
     assert Counter(map(tuple, minhash.near_duplicates(frame(spark, rows), 4).collect())) == near_expected(rows, 4)
 
 
+def test_minhash_template_family(spark, monkeypatch):
+    """Links at the threshold between documents of large families that are themselves below it."""
+    for name, value in (("REGION", 8), ("CROWD", 4), ("CELL", 16), ("CELL_ITEMS", 4000)):
+        monkeypatch.setattr(minhash, name, value, raising=False)
+    common, rows = text_of(50, 200), []
+    for i in range(120):  # 0.74 alike
+        own = text_of(1000 + i, 34).split()
+        rows.append((i, " ".join([common, *own])))
+        if i % 2:  # and one more document each that is 0.81 like it
+            rows.append((500 + i, " ".join([common, *own[:10], *text_of(7000 + i, 24).split()])))
+    expected = near_expected(rows, 4)
+    assert sum(not kept for *_, kept in expected.elements()) == 60
+    assert Counter(map(tuple, minhash.near_duplicates(frame(spark, rows), 4).collect())) == expected
+
+
 # --- suffixes and substrings -------------------------------------------------------
 
 

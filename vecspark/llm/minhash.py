@@ -17,10 +17,12 @@ reach the threshold (agreement of at least ``AGREE`` of 64; at a similarity of
 0.8 a pair has less with a probability of about 1e-5) are confirmed on the full
 sets in two rounds: first a spanning forest of each region by agreement, and
 after the components of the confirmed links are known, every remaining pair
-between different components. So no link that could join two components is
-left out, and groups of copies cost pairs in proportion to their size. Of a
-pair at 0.8, the 16 prefixes of four meet at least once with a probability of
-0.9998.
+between different components. The second round takes the whole regions of depth
+4: a crowded one is dealt into cells, by size of set, and every two cells that
+may hold a link meet in a block of its own, where the pairs that agree are
+confirmed at once. So no link that could join two components is left out, and
+groups of copies cost pairs in proportion to their size. Of a pair at 0.8, the
+16 prefixes of four meet at least once with a probability of 0.9998.
 
 Defined cases: a null text, or one without words, has an empty set and is
 linked with nothing. A document with fewer words than a shingle has its whole
@@ -31,6 +33,8 @@ Columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,6 +46,8 @@ from vecspark.llm.shared import Stage, grams, mixed, prefix_sums, signed, sliced
 HASHES, ORDERS, DEPTH = 64, 16, 4
 REGION = 512
 AGREE = 37
+#: Regions of more documents are compared in blocks; a cell has about so many documents, and hashes of sets, at most.
+CROWD, CELL, CELL_ITEMS = 64, 1024, 1 << 20
 _rng = np.random.default_rng(5)
 _MULTIPLY = (_rng.integers(0, 1 << 63, HASHES, np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, HASHES, np.int64).astype(np.uint64)
@@ -116,12 +122,13 @@ def _prefixes(rows: DataFrame, depth: int) -> DataFrame:
     return rows.select("tree", "id", "sig").mapInArrow(run, "tree int, key long, id long")
 
 
-def regions(reps: DataFrame, stage: Stage) -> DataFrame:
+def regions(reps: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
     """(region, id): the documents that share a prefix of a tree, at the depth that fits the region.
 
     From (id, n, sig). Regions have at most REGION documents (and one more where cut by a hash).
+    The second table, (region, tree, id, dense), has the regions of depth 4 uncut.
     """
-    found, depth = [], DEPTH
+    found, depth, whole = [], DEPTH, None
     rows = reps.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1))).alias("tree"))
     while True:
         keyed = stage.write(_prefixes(rows, depth), f"prefix{depth}")
@@ -129,6 +136,8 @@ def regions(reps: DataFrame, stage: Stage) -> DataFrame:
         counts = stage.write(counts, f"counts{depth}")  # of a table, not of the sum's own exchange, the join can be split
         keyed = stage.write(keyed.join(counts, F.col("key") == F.col("k")).drop("k"), f"shared{depth}")
         stage.drop(f"prefix{depth}")
+        if whole is None:
+            whole = keyed.select(F.col("key").alias("region"), "tree", "id", (F.col("count") > REGION).alias("dense"))
         found.append(keyed.where(F.col("count") <= REGION).select(F.col("key").alias("region"), "id"))
         dense = keyed.where(F.col("count") > REGION)
         if dense.isEmpty():
@@ -142,7 +151,7 @@ def regions(reps: DataFrame, stage: Stage) -> DataFrame:
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
-    return stage.write(out.distinct(), "regions")
+    return stage.write(out.distinct(), "regions"), whole
 
 
 def _forest(i: np.ndarray, j: np.ndarray, agree: np.ndarray) -> list[int]:
@@ -241,6 +250,93 @@ def confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
+def _blocks(rows: DataFrame, stage: Stage, threshold: int) -> DataFrame:
+    """(block, side, tree, id, n, label): every two cells that may hold a link, of rows (region, tree, id, n, label, one).
+
+    A region marked ``one`` is one cell. Others are dealt by classes of size, of
+    which only neighbours may hold a link. A label with many documents has cells
+    of its own, which needn't meet each other.
+    """
+    alone = rows.where("one").select(F.col("region").alias("block"), F.lit(0).alias("side"), "tree", "id", "n", "label")
+    step = math.log(101 / threshold)  # a hundredth wider than sizes of linked sets can differ, for rounding
+    wide = rows.where("NOT one").withColumn("class", F.floor(F.log("n") / step)).drop("one")
+    sums = stage.write(wide.groupBy("region", "class", "label").agg(F.count("*").alias("count"), F.sum("n").alias("items")), "label_sums")
+    own = F.when((F.col("count") > CELL // 2) | (F.col("items") > CELL_ITEMS // 2), F.col("label"))
+    sums = sums.withColumn("own", own).withColumn("unit", F.xxhash64("region", "class", "own", F.col("own").isNull()))
+    units = sums.groupBy("region", "class", "own", "unit").agg(F.ceil(F.greatest(F.sum("count") / CELL, F.sum("items") / CELL_ITEMS)).alias("parts"))
+    units = stage.write(units, "units")
+    labels = stage.write(sums.select("region", "class", "label", "unit").join(units.select("unit", "parts"), "unit"), "label_units")
+    cell = F.xxhash64("unit", F.pmod(F.xxhash64("id", "region"), "parts"))
+    dealt = wide.join(labels, ["region", "class", "label"]).select(cell.alias("cell"), "tree", "id", "n", "label")
+
+    cells = units.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    cells = cells.select("region", "class", "own", F.xxhash64("unit", "part").alias("cell"))
+    x, y = cells.alias("x"), stage.write(cells, "cells").alias("y")
+    near = ((F.col("x.class") == F.col("y.class")) & (F.col("x.cell") <= F.col("y.cell"))) | (F.col("x.class") + 1 == F.col("y.class"))
+    meet = x.join(y, F.col("x.region") == F.col("y.region")).where(near & ~F.coalesce(F.col("x.own") == F.col("y.own"), F.lit(False)))
+    meet = meet.select(F.xxhash64("x.cell", "y.cell").alias("block"), F.col("x.cell").alias("one"), F.col("y.cell").alias("two"))
+    sides = meet.select("block", F.col("one").alias("cell"), F.lit(0).alias("side"))
+    sides = sides.unionByName(meet.where("one <> two").select("block", F.col("two").alias("cell"), F.lit(1).alias("side")))
+    return alone.unionByName(dealt.join(stage.write(sides, "sides"), "cell").select(*alone.columns))
+
+
+def _links(rows: DataFrame, threshold: int) -> DataFrame:
+    """Confirmed links (a, b) between labels of rows (block, side, tree, id, n, label, sig, items), as many as join them."""
+
+    def compare(side, ids, n, label, tree, sig, items):
+        code, a, b = np.unique(label, return_inverse=True)[1], [], []
+        other, own, mark = np.flatnonzero(side == 1), None, None
+        for i in np.flatnonzero(side == 0).tolist():
+            j = other if len(other) else np.arange(i + 1, len(ids))
+            j = j[(code[j] != code[i]) & (100 * np.minimum(n[j], n[i]) >= threshold * np.maximum(n[j], n[i]))]
+            equal = sig[j] == sig[i]
+            ok = equal.sum(axis=1) >= AGREE
+            # A pair is taken in the first tree that it meets in.
+            j = j[ok][equal[ok].reshape(-1, ORDERS, DEPTH).all(axis=2).argmax(axis=1) == tree[0]]
+            if not len(j):
+                continue
+            if own is None:
+                number = np.unique(np.concatenate(items), return_inverse=True)[1]
+                own, mark = np.split(number, np.cumsum([len(x) for x in items])[:-1]), np.zeros(number.max() + 1, bool)
+            mark[own[i]] = True
+            sizes = np.array([len(own[k]) for k in j])
+            both = np.add.reduceat(mark[np.concatenate([own[k] for k in j])], np.r_[0, np.cumsum(sizes)[:-1]], dtype=np.int64)
+            mark[own[i]] = False
+            for k in j[100 * both >= threshold * (len(own[i]) + sizes - both)].tolist():
+                if code[k] != code[i]:
+                    code[code == code[k]] = code[i]
+                    a.append(min(ids[i], ids[k])), b.append(max(ids[i], ids[k]))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def done(held):
+        at = np.argsort(np.concatenate(held["side"]), kind="stable")
+        side, ids, n, label, tree, sig = (np.concatenate(held[k])[at] for k in ("side", "id", "n", "label", "tree", "sig"))
+        return compare(side, ids, n, label, tree, sig, [held["items"][k] for k in at])
+
+    def run(batches):
+        held, block = None, None  # the rows of the last block, which may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = {k: batch.column(k).to_numpy() for k in ("block", "side", "id", "n", "label", "tree")}
+            now["sig"] = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES)
+            items = [np.frombuffer(x, np.uint64) for x in batch.column("items").to_pylist()]
+            cuts = np.r_[0, np.flatnonzero(np.diff(now["block"])) + 1, batch.num_rows].tolist()
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                if held is not None and now["block"][s] != block:
+                    yield done(held)
+                    held = None
+                if held is None:
+                    held, block = {k: [] for k in ("side", "id", "n", "label", "tree", "sig", "items")}, now["block"][s]
+                for k in held:
+                    held[k].extend(items[s:e]) if k == "items" else held[k].append(now[k][s:e])
+        if held is not None:
+            yield done(held)
+
+    dealt = rows.repartition("block").sortWithinPartitions("block")
+    return dealt.select("block", "side", "id", "n", "label", "tree", "sig", "items").mapInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable) and kept of every document.
 
@@ -256,18 +352,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80) -> D
     reps = stage.write(reps.select(F.col("doc_id").alias("id"), "n", "sig"), "reps")
     own = some.where(F.lit(False)).select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
 
-    shared = regions(reps, stage)
+    shared, whole = regions(reps, stage)
     rows = stage.write(shared.join(reps, "id"), "rows")
     first = stage.write(_pairs(rows.withColumn("label", F.col("id")), threshold, True), "first")
-    ids = first.select(F.col("a").alias("id")).union(first.select("b")).distinct()
-    sets = stage.write(sets_of(docs, ids, shingle), "sets")
+    ids = stage.write(first.select(F.col("a").alias("id")).union(first.select("b")).distinct(), "ids")
+    sets = stage.write(sets_of(docs, ids.union(whole.where("dense").select("id")).distinct(), shingle), "sets")
+    stage.drop("rows", "regions")
     links = stage.write(confirm(first, sets, threshold).unionByName(own), "links_first")
     label = stage.write(components(links, stage, "one"), "labels")
     label = label.select(F.col("id"), F.col("component").alias("label"))
-    again = rows.join(ids, "id", "left_semi").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    second = stage.write(_pairs(again, threshold, False).join(first, ["a", "b"], "left_anti"), "second")
-    links = stage.write(links.unionByName(confirm(second, sets, threshold)), "links")
-    stage.drop("rows", "sets", "regions")
+    # Documents without a pair in the first round have none in the regions that were compared whole.
+    label = stage.write(ids.join(label, "id", "left").select("id", F.coalesce("label", "id").alias("label")), "second_labels")
+    again = whole.join(label, "id", "left").where("dense OR label IS NOT NULL").withColumn("label", F.coalesce("label", "id"))
+    again = stage.write(again.join(reps.select("id", "n"), "id").select("region", "tree", "id", "n", "label"), "again")
+    sums = again.groupBy("region").agg(F.count("*").alias("count"), F.sum("n").alias("items"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+    one = (F.col("count") <= CELL) & (F.col("items") <= CELL_ITEMS)
+    sums = stage.write(sums.select(F.col("region").alias("r"), (F.col("count") > CROWD).alias("crowd"), one.alias("one")), "region_sums")
+    again = stage.write(again.join(sums, F.col("region") == F.col("r")).drop("r"), "labelled")
+    stage.drop("again")
+    second = stage.write(_pairs(again.where("NOT crowd").join(reps.select("id", "sig"), "id"), threshold, False).join(first, ["a", "b"], "left_anti"), "second")
+    links = stage.write(links.unionByName(confirm(second, sets, threshold)), "links_second")
+    met = _blocks(again.where("crowd").drop("crowd"), stage, threshold)
+    met = met.join(sets, "id").join(reps.select("id", "sig"), "id")
+    links = stage.write(links.unionByName(_links(met, threshold)), "links")
+    stage.drop("sets", "labelled")
 
     # Rows of one doc_id with different sets are one document: their groups are linked through it.
     members = some.join(groups, ["n", "p1", "p2"]).select("doc_id", "rep")
