@@ -1,40 +1,45 @@
 """Near-duplicate documents by an LSH forest over MinHash signatures.
 
-A document is the set of its distinct word shingles, as 64-bit hashes. Its
-signature has 64 minima. The forest has 16 orders of the signature, order t
-beginning with its own four minima; a tree node is a prefix of an order.
-Documents that share a prefix are neighbours by longest common prefix. The depth
-adapts to the region: a prefix that more than ``REGION`` documents share is
-extended to twice its length, so that a dense region is searched at several
-depths and a sparse one at depth 4. A document may leave a dense region on the
-way down, as the only one with its longer prefix; so at each depth a region
-that is too large is also cut into parts by a hash of the id, another cut in
-each order, and the least document of the region stands in each part.
-
-Documents with one and the same set are first drawn together, and the least id
-stands for them. Within a region signatures are compared, and pairs that could
-reach the threshold (agreement of at least ``AGREE`` of 64; at a similarity of
-0.8 a pair has less with a probability of about 1e-5) are confirmed on the full
-sets in two rounds: first a spanning forest of each region by agreement, and
-after the components of the confirmed links are known, every remaining pair
-between different components. The second round takes the whole regions of depth
-4: a crowded one is dealt into cells, by size of set, and every two cells that
-may hold a link meet in a block of its own, where the pairs that agree are
-confirmed at once. So no link that could join two components is left out, and
-groups of copies cost pairs in proportion to their size. Of a pair at 0.8, the
-16 prefixes of four meet at least once with a probability of 0.9998.
+A document is the set of its distinct word shingles, as 64-bit hashes; its
+signature has 64 minima. The forest has 16 orders of the documents, order t
+sorted by its own four minima and then by the next four. Documents that agree in
+an order's first four minima are a region of it; a pair at a similarity of 0.8
+shares none of the 16 with a probability of 0.0002. That is the only step that
+may miss a link.
+
+1. Documents with one and the same set are drawn together; the least id stands
+   for them.
+2. Neighbours: in each order a document is compared with the one before it, with
+   which it has the longest common prefix, and with the first of its region. So
+   pairs grow with the documents, however large a region is. Pairs whose
+   signatures agree in at least ``AGREE`` of 64 places (a pair at 0.8 has less with
+   a probability under 1e-10) are confirmed on the full sets; the components of
+   the links are labels.
+3. Regions that hold several labels after that are searched whole. Those of up to
+   ``REGION`` documents are compared pair by pair. In larger ones the minima tell
+   nothing any more, since they come from what all the documents share, so the
+   depth adapts: the documents go on by their rarest shingles, counted over all
+   documents of such regions. Two linked sets share one of the first
+   n - ceil(0.8 n) + 1 shingles of either in that order, so the documents that hold
+   a shingle so early meet, and a template that thousands share brings none
+   together. What meets is confirmed at once on the shingles from there on; this
+   step is exact. Shingles that many documents hold so early are dealt into cells,
+   every two of which meet in a block, and only links that join labels come out of
+   a block. The comparisons in a large family at the very threshold still grow with
+   the square of its size; its rows don't.
 
 Defined cases: a null text, or one without words, has an empty set and is
 linked with nothing. A document with fewer words than a shingle has its whole
 sequence as one. Rows of one doc_id are one document. A null doc_id is linked
 with nothing, has a null component and is kept. Repeated rows are in one group.
-Columns other than doc_id and text are not read.
+Ties don't arise: links and least ids don't depend on an order of rows. A text of
+any length is one set, made by one task; only such a document's own hashes are
+held at once. An empty table gives an empty table. Columns other than doc_id and
+text are not read.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,10 +49,12 @@ from vecspark.llm.components import components
 from vecspark.llm.shared import Stage, grams, mixed, prefix_sums, signed, sliced, small_side, spans_hash, texts, words
 
 HASHES, ORDERS, DEPTH = 64, 16, 4
-REGION = 512
-AGREE = 37
-#: Regions of more documents are compared in blocks; a cell has about so many documents, and hashes of sets, at most.
-CROWD, CELL, CELL_ITEMS = 64, 1024, 1 << 20
+#: Agreeing minima that a pair has at least to be confirmed.
+AGREE = 28
+#: Regions of more documents go on by rare shingles.
+REGION = 32
+#: A cell of documents that hold a shingle has about so many, and so many hashes, at most.
+CELL, CELL_ITEMS = 1024, 1 << 20
 _rng = np.random.default_rng(5)
 _MULTIPLY = (_rng.integers(0, 1 << 63, HASHES, np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, HASHES, np.int64).astype(np.uint64)
@@ -106,105 +113,103 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, p1 long, p2 long, sig binary")
 
 
-def _prefixes(rows: DataFrame, depth: int) -> DataFrame:
-    """(tree, key, id) of rows (tree, id, sig); key is a hash of the first ``depth`` minima in the tree's order."""
+def _keys(reps: DataFrame) -> DataFrame:
+    """(key, d1, d2, id) of each order: a hash of its number and first minima, and the four after them."""
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES)
-                tree = batch.column("tree").to_numpy()
-                key = mixed(tree.astype(np.uint64) + np.uint64(depth << 8))
-                for k in range(depth):
-                    key = mixed(key ^ sig[np.arange(len(sig)), (tree * DEPTH + k) % HASHES].astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([batch.column("tree"), pa.array(signed(key)), batch.column("id")], ["tree", "key", "id"])
+            if not batch.num_rows:
+                continue
+            sig, ids = _matrix(batch), batch.column("id")
+            for t in range(ORDERS):
+                own = sig[:, (np.arange(2 * DEPTH) + t * DEPTH) % HASHES].astype(np.uint64)
+                key = np.full(len(sig), mixed(np.array([t], np.uint64))[0])
+                for k in range(DEPTH):
+                    key = mixed(key ^ own[:, k])
+                deep = [signed(own[:, k] << np.uint64(32) | own[:, k + 1]) for k in (DEPTH, DEPTH + 2)]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), *map(pa.array, deep), ids], ["key", "d1", "d2", "id"])
+
+    return reps.select("id", "sig").mapInArrow(run, "key long, d1 long, d2 long, id long")
+
+
+def _matrix(batch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES)
+
+
+def regions(reps: DataFrame, stage: Stage) -> DataFrame:
+    """(key, d1, d2, id, count) of the documents (id, sig) that share a region, with its number of documents."""
+    keys = stage.write(_keys(reps), "keys")
+    counts = keys.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("count")).where("count > 1")
+    counts = stage.write(counts, "counts")  # of a table, not of the sum's own exchange, the join can be split
+    out = stage.write(keys.join(counts, F.col("key") == F.col("k")).drop("k"), "shared")
+    stage.drop("keys", "counts")
+    return out
+
+
+def _alike(n: np.ndarray, sig: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: int) -> np.ndarray:
+    """Whether rows i and j may be linked, by their sizes and signatures."""
+    ok = 100 * np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j])
+    ok[ok] = (sig[i[ok]] == sig[j[ok]]).sum(axis=1) >= AGREE
+    return ok
+
 
-    return rows.select("tree", "id", "sig").mapInArrow(run, "tree int, key long, id long")
+def _ordered(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
 
-def regions(reps: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
-    """(region, id): the documents that share a prefix of a tree, at the depth that fits the region.
+def neighbours(rows: DataFrame, threshold: int) -> DataFrame:
+    """(a, b) of rows (key, d1, d2, id, n, sig): each with the one before it in its order, and with the first of its region.
 
-    From (id, n, sig). Regions have at most REGION documents (and one more where cut by a hash).
-    The second table, (region, tree, id, dense), has the regions of depth 4 uncut.
+    The orders are cut into ranges, so a region of any size is spread over tasks;
+    each range has a first of its own.
     """
-    found, depth, whole = [], DEPTH, None
-    rows = reps.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1))).alias("tree"))
-    while True:
-        keyed = stage.write(_prefixes(rows, depth), f"prefix{depth}")
-        counts = keyed.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("count"), F.min("id").alias("least")).where("count > 1")
-        counts = stage.write(counts, f"counts{depth}")  # of a table, not of the sum's own exchange, the join can be split
-        keyed = stage.write(keyed.join(counts, F.col("key") == F.col("k")).drop("k"), f"shared{depth}")
-        stage.drop(f"prefix{depth}")
-        if whole is None:
-            whole = keyed.select(F.col("key").alias("region"), "tree", "id", (F.col("count") > REGION).alias("dense"))
-        found.append(keyed.where(F.col("count") <= REGION).select(F.col("key").alias("region"), "id"))
-        dense = keyed.where(F.col("count") > REGION)
-        if dense.isEmpty():
-            break
-        parts = F.ceil(F.col("count") / REGION)
-        part = dense.select(F.xxhash64("key", F.pmod(F.xxhash64("id", "key"), parts)).alias("region"), "id", "least")
-        found += [part.select("region", "id"), part.select("region", F.col("least").alias("id"))]
-        if depth == HASHES:
-            break
-        rows, depth = dense.select("tree", "id").join(reps.select("id", "sig"), "id"), depth * 2
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return stage.write(out.distinct(), "regions"), whole
-
-
-def _forest(i: np.ndarray, j: np.ndarray, agree: np.ndarray) -> list[int]:
-    """The pairs of a spanning forest, by agreement."""
-    parent: dict[int, int] = {}
-
-    def root(x):
-        while (up := parent.get(x, x)) != x:
-            parent[x] = parent.get(up, up)
-            x = up
-        return x
-
-    keep = []
-    for k in np.argsort(-agree, kind="stable").tolist():
-        a, b = root(int(i[k])), root(int(j[k]))
-        if a != b:
-            parent[b] = a
-            keep.append(k)
-    return keep
-
-
-def _pairs(rows: DataFrame, threshold: int, spanning: bool) -> DataFrame:
-    """(a, b) of rows (region, id, n, sig, label) that may be linked and differ in label."""
-
-    def compare(region, ids, n, label, sig):
-        a, b, agree = [], [], []
-        for step in range(1, len(region)):
-            i = np.flatnonzero(region[step:] == region[:-step])
-            if not len(i):
+
+    def run(batches):
+        held = None  # the first row of the last region, and the last row
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [*(batch.column(k).to_numpy() for k in ("key", "id", "n")), _matrix(batch)]
+            begin = 0
+            if held is not None:
+                begin, now = len(held[0]), [np.concatenate(x) for x in zip(held, now, strict=True)]
+            key, ids, n, sig = now
+            at = np.arange(len(key))
+            first = np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]], at, 0))
+            i = at[max(begin, 1) :]
+            i, j = np.concatenate([i, i]), np.concatenate([i - 1, first[i]])
+            ok = (key[i] == key[j]) & (ids[i] != ids[j])
+            i, j = i[ok], j[ok]
+            ok = _alike(n, sig, i, j, threshold)
+            if ok.any():
+                yield _ordered(ids[i[ok]], ids[j[ok]])
+            held = [x[[first[-1], len(key) - 1]] for x in now]
+
+    order = ("key", "d1", "d2", "id")
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return dealt.select("key", "id", "n", "sig").mapInArrow(run, "a long, b long").distinct()
+
+
+def _pairs(rows: DataFrame, threshold: int) -> DataFrame:
+    """(a, b) of rows (key, id, n, sig, label) of one small region that may be linked and differ in label."""
+
+    def compare(key, ids, n, label, sig):
+        a, b = [], []
+        for step in range(1, len(key)):
+            i = np.flatnonzero((key[step:] == key[:-step]) & (label[step:] != label[:-step]))
+            if not len(i) and not (key[step:] == key[:-step]).any():
                 break
-            j = i + step
-            may = (label[i] != label[j]) & (100 * np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]))
-            i, j = i[may], j[may]
-            same = (sig[i] == sig[j]).sum(axis=1)
-            ok = same >= AGREE
-            a.append(i[ok]), b.append(j[ok]), agree.append(same[ok])
-        if not a:
-            return None
-        a, b, agree = np.concatenate(a), np.concatenate(b), np.concatenate(agree)
-        if spanning and len(a):
-            keep = _forest(a, b, agree)
-            a, b = a[keep], b[keep]
-        x, y = ids[a], ids[b]
-        both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"]) if both.shape[1] else None
+            i = i[_alike(n, sig, i, i + step, threshold)]
+            a.append(ids[i]), b.append(ids[i + step])
+        return _ordered(np.concatenate(a), np.concatenate(b)) if a else None
 
     def run(batches):
         held = None  # the rows of the last region, which may go on in the next batch
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [batch.column(k).to_numpy() for k in ("region", "id", "n", "label")]
-            now.append(np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES))
+            now = [*(batch.column(k).to_numpy() for k in ("key", "id", "n", "label")), _matrix(batch)]
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now, strict=True)]
             cut = int(np.searchsorted(now[0], now[0][-1]))
@@ -214,8 +219,8 @@ def _pairs(rows: DataFrame, threshold: int, spanning: bool) -> DataFrame:
         if held is not None and (out := compare(*held)) is not None:
             yield out
 
-    dealt = rows.repartition("region").sortWithinPartitions("region", "id")
-    return dealt.select("region", "id", "n", "label", "sig").mapInArrow(run, "a long, b long").distinct()
+    dealt = rows.repartition("key").sortWithinPartitions("key", "id")
+    return dealt.select("key", "id", "n", "label", "sig").mapInArrow(run, "a long, b long").distinct()
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
@@ -250,91 +255,104 @@ def confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
-def _blocks(rows: DataFrame, stage: Stage, threshold: int) -> DataFrame:
-    """(block, side, tree, id, n, label): every two cells that may hold a link, of rows (region, tree, id, n, label, one).
+def _tokens(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(token, c), counted by batch, and (id, p, token), of sets (id, p, items)."""
 
-    A region marked ``one`` is one cell. Others are dealt by classes of size, of
-    which only neighbours may hold a link. A label with many documents has cells
-    of its own, which needn't meet each other.
-    """
-    alone = rows.where("one").select(F.col("region").alias("block"), F.lit(0).alias("side"), "tree", "id", "n", "label")
-    step = math.log(101 / threshold)  # a hundredth wider than sizes of linked sets can differ, for rounding
-    wide = rows.where("NOT one").withColumn("class", F.floor(F.log("n") / step)).drop("one")
-    sums = stage.write(wide.groupBy("region", "class", "label").agg(F.count("*").alias("count"), F.sum("n").alias("items")), "label_sums")
-    own = F.when((F.col("count") > CELL // 2) | (F.col("items") > CELL_ITEMS // 2), F.col("label"))
-    sums = sums.withColumn("own", own).withColumn("unit", F.xxhash64("region", "class", "own", F.col("own").isNull()))
-    units = sums.groupBy("region", "class", "own", "unit").agg(F.ceil(F.greatest(F.sum("count") / CELL, F.sum("items") / CELL_ITEMS)).alias("parts"))
-    units = stage.write(units, "units")
-    labels = stage.write(sums.select("region", "class", "label", "unit").join(units.select("unit", "parts"), "unit"), "label_units")
-    cell = F.xxhash64("unit", F.pmod(F.xxhash64("id", "region"), "parts"))
-    dealt = wide.join(labels, ["region", "class", "label"]).select(cell.alias("cell"), "tree", "id", "n", "label")
-
-    cells = units.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    cells = cells.select("region", "class", "own", F.xxhash64("unit", "part").alias("cell"))
-    x, y = cells.alias("x"), stage.write(cells, "cells").alias("y")
-    near = ((F.col("x.class") == F.col("y.class")) & (F.col("x.cell") <= F.col("y.cell"))) | (F.col("x.class") + 1 == F.col("y.class"))
-    meet = x.join(y, F.col("x.region") == F.col("y.region")).where(near & ~F.coalesce(F.col("x.own") == F.col("y.own"), F.lit(False)))
-    meet = meet.select(F.xxhash64("x.cell", "y.cell").alias("block"), F.col("x.cell").alias("one"), F.col("y.cell").alias("two"))
-    sides = meet.select("block", F.col("one").alias("cell"), F.lit(0).alias("side"))
-    sides = sides.unionByName(meet.where("one <> two").select("block", F.col("two").alias("cell"), F.lit(1).alias("side")))
-    return alone.unionByName(dealt.join(stage.write(sides, "sides"), "cell").select(*alone.columns))
+    def count(batches):
+        for batch in sliced(batches, "items"):
+            token, c = np.unique(np.frombuffer(b"".join(batch.column("items").to_pylist()), np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(c)], ["token", "c"])
+
+    def each(batches):
+        for batch in sliced(batches, "items"):
+            items = batch.column("items").to_pylist()
+            at = pa.array(np.repeat(np.arange(len(items)), [len(x) // 8 for x in items]))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("p").take(at), pa.array(np.frombuffer(b"".join(items), np.int64))], ["id", "p", "token"])
+
+    counted = sets.select("items").mapInArrow(count, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    return counted, sets.select("id", "p", "items").mapInArrow(each, "id long, p long, token long")
 
 
 def _links(rows: DataFrame, threshold: int) -> DataFrame:
-    """Confirmed links (a, b) between labels of rows (block, side, tree, id, n, label, sig, items), as many as join them."""
+    """Confirmed links (a, b) between labels of rows (block, across, side, id, n, label, items), as many as join them.
+
+    Rows of a block hold one shingle, at which their ``items`` begin. Of a block
+    ``across`` two cells, only rows of different sides are compared.
+    """
 
-    def compare(side, ids, n, label, tree, sig, items):
+    def compare(across, side, ids, n, label, items):
         code, a, b = np.unique(label, return_inverse=True)[1], [], []
-        other, own, mark = np.flatnonzero(side == 1), None, None
+        size, other, own, mark = np.array([len(x) for x in items]), np.flatnonzero(side == 1), None, None
         for i in np.flatnonzero(side == 0).tolist():
-            j = other if len(other) else np.arange(i + 1, len(ids))
-            j = j[(code[j] != code[i]) & (100 * np.minimum(n[j], n[i]) >= threshold * np.maximum(n[j], n[i]))]
-            equal = sig[j] == sig[i]
-            ok = equal.sum(axis=1) >= AGREE
-            # A pair is taken in the first tree that it meets in.
-            j = j[ok][equal[ok].reshape(-1, ORDERS, DEPTH).all(axis=2).argmax(axis=1) == tree[0]]
+            j = other if across else np.arange(i + 1, len(ids))
+            need = -(-threshold * (n[i] + n[j]) // (100 + threshold))
+            ok = (code[j] != code[i]) & (np.minimum(size[i], size[j]) >= need)
+            j, need = j[ok], need[ok]
             if not len(j):
                 continue
             if own is None:
                 number = np.unique(np.concatenate(items), return_inverse=True)[1]
-                own, mark = np.split(number, np.cumsum([len(x) for x in items])[:-1]), np.zeros(number.max() + 1, bool)
+                own, mark = np.split(number, np.cumsum(size)[:-1]), np.zeros(number.max() + 1, bool)
             mark[own[i]] = True
-            sizes = np.array([len(own[k]) for k in j])
-            both = np.add.reduceat(mark[np.concatenate([own[k] for k in j])], np.r_[0, np.cumsum(sizes)[:-1]], dtype=np.int64)
+            both = np.add.reduceat(mark[np.concatenate([own[k] for k in j])], np.r_[0, np.cumsum(size[j])[:-1]], dtype=np.int64)
             mark[own[i]] = False
-            for k in j[100 * both >= threshold * (len(own[i]) + sizes - both)].tolist():
+            for k in j[both >= need].tolist():
                 if code[k] != code[i]:
                     code[code == code[k]] = code[i]
                     a.append(min(ids[i], ids[k])), b.append(max(ids[i], ids[k]))
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     def done(held):
-        at = np.argsort(np.concatenate(held["side"]), kind="stable")
-        side, ids, n, label, tree, sig = (np.concatenate(held[k])[at] for k in ("side", "id", "n", "label", "tree", "sig"))
-        return compare(side, ids, n, label, tree, sig, [held["items"][k] for k in at])
+        return compare(held["across"][0][0], *(np.concatenate(held[k]) for k in ("side", "id", "n", "label")), held["items"])
 
     def run(batches):
         held, block = None, None  # the rows of the last block, which may go on in the next batch
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = {k: batch.column(k).to_numpy() for k in ("block", "side", "id", "n", "label", "tree")}
-            now["sig"] = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, HASHES)
-            items = [np.frombuffer(x, np.uint64) for x in batch.column("items").to_pylist()]
+            now = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("block", "across", "side", "id", "n", "label")}
+            lists = batch.column("items")
+            values, bounds = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
             cuts = np.r_[0, np.flatnonzero(np.diff(now["block"])) + 1, batch.num_rows].tolist()
             for s, e in zip(cuts, cuts[1:], strict=False):
                 if held is not None and now["block"][s] != block:
                     yield done(held)
                     held = None
                 if held is None:
-                    held, block = {k: [] for k in ("side", "id", "n", "label", "tree", "sig", "items")}, now["block"][s]
+                    held, block = {k: [] for k in ("across", "side", "id", "n", "label", "items")}, now["block"][s]
                 for k in held:
-                    held[k].extend(items[s:e]) if k == "items" else held[k].append(now[k][s:e])
+                    if k == "items":
+                        held[k].extend(values[bounds[r] : bounds[r + 1]] for r in range(s, e))
+                    else:
+                        held[k].append(now[k][s:e])
         if held is not None:
             yield done(held)
 
     dealt = rows.repartition("block").sortWithinPartitions("block")
-    return dealt.select("block", "side", "id", "n", "label", "tree", "sig", "items").mapInArrow(run, "a long, b long").distinct()
+    return dealt.select("block", "across", "side", "id", "n", "label", "items").mapInArrow(run, "a long, b long").distinct()
+
+
+def rare_links(sets: DataFrame, threshold: int, stage: Stage) -> DataFrame:
+    """(a, b), links between different labels that join all that can be joined, of sets (id, label, items)."""
+    sets = sets.select("id", "label", F.xxhash64("items").alias("p"), F.expr("length(items) div 8").alias("n"), "items").distinct()
+    sets = stage.write(sets, "dense_sets")
+    counted, each = _tokens(sets)
+    common = stage.write(counted.where("c > 1").withColumnRenamed("token", "t"), "common")
+    held = each.join(common, F.col("token") == F.col("t")).groupBy("id", "p").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("held"))
+    # What only one document holds comes first in its order, and can't be shared.
+    ranked = sets.drop("items").join(held, ["id", "p"]).withColumn("held", F.transform("held", lambda x: x.token))
+    ranked = ranked.withColumn("early", F.size("held") - F.ceil(F.col("n") * threshold / 100).cast("int") + 1).where("early > 0")
+    ranked = stage.write(ranked, "ranked")
+    early = ranked.select("id", "p", "label", F.size("held").alias("size"), F.posexplode(F.slice("held", F.lit(1), F.col("early"))).alias("at", "token"))
+    met = early.groupBy(F.col("token").alias("t")).agg(F.count("*").alias("count"), F.sum("size").alias("items"), F.min("label").alias("x"), F.max("label").alias("y"))
+    parts = F.greatest(F.ceil(F.col("count") / CELL), F.ceil(F.col("items") / CELL_ITEMS))
+    met = stage.write(met.where("x <> y").select("t", parts.alias("parts")), "met")
+    cell = early.join(met, F.col("token") == F.col("t")).withColumn("cell", F.pmod(F.xxhash64("id", "p", "token"), "parts"))
+    cell = cell.select("id", "p", "token", "at", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("with"))
+    block = F.xxhash64("token", F.least("cell", "with"), F.greatest("cell", "with"))
+    dealt = cell.select("id", "p", "at", block.alias("block"), (F.col("cell") != F.col("with")).alias("across"), (F.col("cell") > F.col("with")).cast("int").alias("side"))
+    dealt = stage.write(dealt, "dealt").join(ranked, ["id", "p"])
+    return _links(dealt.select("block", "across", "side", "id", "n", "label", F.expr("slice(held, at + 1, size(held))").alias("items")), threshold)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80) -> DataFrame:
@@ -350,32 +368,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: int = 80) -> D
     groups = stage.write(some.groupBy("n", "p1", "p2").agg(F.min("doc_id").alias("rep")), "groups")
     reps = some.join(groups.select("n", "p1", "p2", F.col("rep").alias("doc_id")), ["doc_id", "n", "p1", "p2"], "left_semi")
     reps = stage.write(reps.select(F.col("doc_id").alias("id"), "n", "sig"), "reps")
-    own = some.where(F.lit(False)).select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
-
-    shared, whole = regions(reps, stage)
-    rows = stage.write(shared.join(reps, "id"), "rows")
-    first = stage.write(_pairs(rows.withColumn("label", F.col("id")), threshold, True), "first")
-    ids = stage.write(first.select(F.col("a").alias("id")).union(first.select("b")).distinct(), "ids")
-    sets = stage.write(sets_of(docs, ids.union(whole.where("dense").select("id")).distinct(), shingle), "sets")
-    stage.drop("rows", "regions")
-    links = stage.write(confirm(first, sets, threshold).unionByName(own), "links_first")
-    label = stage.write(components(links, stage, "one"), "labels")
-    label = label.select(F.col("id"), F.col("component").alias("label"))
-    # Documents without a pair in the first round have none in the regions that were compared whole.
-    label = stage.write(ids.join(label, "id", "left").select("id", F.coalesce("label", "id").alias("label")), "second_labels")
-    again = whole.join(label, "id", "left").where("dense OR label IS NOT NULL").withColumn("label", F.coalesce("label", "id"))
-    again = stage.write(again.join(reps.select("id", "n"), "id").select("region", "tree", "id", "n", "label"), "again")
-    sums = again.groupBy("region").agg(F.count("*").alias("count"), F.sum("n").alias("items"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
-    one = (F.col("count") <= CELL) & (F.col("items") <= CELL_ITEMS)
-    sums = stage.write(sums.select(F.col("region").alias("r"), (F.col("count") > CROWD).alias("crowd"), one.alias("one")), "region_sums")
-    again = stage.write(again.join(sums, F.col("region") == F.col("r")).drop("r"), "labelled")
-    stage.drop("again")
-    second = stage.write(_pairs(again.where("NOT crowd").join(reps.select("id", "sig"), "id"), threshold, False).join(first, ["a", "b"], "left_anti"), "second")
-    links = stage.write(links.unionByName(confirm(second, sets, threshold)), "links_second")
-    met = _blocks(again.where("crowd").drop("crowd"), stage, threshold)
-    met = met.join(sets, "id").join(reps.select("id", "sig"), "id")
-    links = stage.write(links.unionByName(_links(met, threshold)), "links")
-    stage.drop("sets", "labelled")
+    shared = regions(reps, stage)
+    first = stage.write(neighbours(shared.join(reps, "id"), threshold), "first")
+    sets = stage.write(sets_of(docs, shared.select("id").distinct(), shingle), "sets")
+    links = stage.write(confirm(first, sets, threshold), "links_first")
+    label = stage.write(components(links, stage, "one"), "labels").select("id", F.col("component").alias("label"))
+    again = stage.write(shared.select("key", "id", "count").join(label, "id", "left").withColumn("label", F.coalesce("label", "id")), "again")
+    several = again.groupBy(F.col("key").alias("k")).agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("k")
+    again = stage.write(again.join(stage.write(several, "several"), F.col("key") == F.col("k")).drop("k"), "open")
+    stage.drop("shared", "again")
+    second = stage.write(_pairs(again.where(F.col("count") <= REGION).join(reps, "id"), threshold), "second")
+    third = rare_links(sets.join(again.where(F.col("count") > REGION).select("id", "label").distinct(), "id"), threshold, stage)
+    links = stage.write(links.unionByName(confirm(second, sets, threshold)).unionByName(third), "links")
+    stage.drop("sets", "open", "dense_sets", "ranked", "dealt", "common", "met")
 
     # Rows of one doc_id with different sets are one document: their groups are linked through it.
     members = some.join(groups, ["n", "p1", "p2"]).select("doc_id", "rep")
