@@ -2,27 +2,29 @@
 
 The words of each source are laid end to end, in a fixed order of documents,
 and packed into blocks of ``block`` words. The mix is a row of slots, each of
-one block, that fill output shards of ``shard`` slots. The slots' sources are
-drawn at random: each shard's counts of sources are multinomial, given that the
-counts of all shards add up to the targets (a pseudorandom permutation deals
-the slots of all sources to the shards). The slots of one source run through
-its blocks by a pseudorandom permutation of the block numbers, another one in
-each pass, so that no block comes again before all have come. Slots and packed
-documents are joined by source and block number. The last slot of a source is
-cut so that its taken words are its target, rounded.
-
-Permutations are closed forms (swap-or-not rounds over the exact range), so no
-task holds a source's blocks, and reruns agree.
-
-Word places are sums in two levels: over documents within one of ``cells``
-groups of a source by a hash of doc_id, and over the groups. A source that
-holds a third of all rows is so spread over ``cells`` groups.
+one block, that fill output shards of about ``shard`` slots. How many slots of
+each source a shard has is drawn: every slot of a source falls to a shard at
+random, so the counts are multinomial, given that a source's counts of all
+shards add up to its target. Summed up over the shards, the counts say which of
+a source's slots a shard has, and these run through the source's blocks by a
+pseudorandom permutation of the block numbers, another one in each pass, so that
+no block comes again before all have come. Slots and packed documents are joined
+by source and block number. The last slot of a source is cut so that its taken
+words are its target, rounded.
+
+Draws and permutations are closed forms of a hash (swap-or-not rounds over the
+exact range), so no task holds a source's blocks, and reruns agree.
+
+Word places, and places of counts, are sums in two levels: over documents within
+groups of a source by a hash, of at most about ``CELL`` documents each, and over
+the groups. A source that holds a third of all rows is so spread over many groups.
 
 Defined cases: a null or empty text has size 0 and takes part with nothing; a
 null source is a source, the last one. Documents of one group come in order of
 doc_id (nulls first), then size, then a hash of the text; repeated rows have
-places of their own. Without words all targets are 0. Other columns are not
-read.
+places of their own. A text of any length is split by one task, a row at a time.
+Without words all targets are 0; an empty table gives an empty table. Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -31,13 +33,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from vecspark.llm.shared import SPACES, Stage
+from vecspark.llm.shared import SPACES, Stage, small_side
 
-BLOCK, SHARD, CELLS, SEED = 128, 1024, 2048, 42
+BLOCK, SHARD, SEED = 128, 1024, 42
 CAP = 3
 ROUNDS = 24
-#: Slots that one row stands for before it is opened up.
+#: Slots, or shards, that one row stands for before it is opened up or summed.
 RUN = 4096
+#: Groups of a source at least, and documents of a group at most, but for repeated rows.
+CELLS, CELL = 64, 1 << 16
 
 
 def word_count(text: Column) -> Column:
@@ -78,11 +82,8 @@ def targets(sizes: DataFrame) -> DataFrame:
     return s.select("source", "order", "source_size", F.least(target, F.col("cap").cast("double")).alias("target"))
 
 
-def plan(sources: DataFrame, block: int, shard: int, seed: int) -> DataFrame:
-    """The slots: order (of the source), pass, block, words taken from the block's start, shard.
-
-    From rows (order, source_size, target).
-    """
+def quotas(sources: DataFrame, block: int, shard: int, seed: int) -> DataFrame:
+    """How many slots each source fills, of rows (order, source_size, target), and how many shards there are."""
     s = sources.where("source_size > 0").withColumn("words", F.round("target").cast("long")).where("words > 0")
     s = s.withColumn("blocks", F.ceil(F.col("source_size") / block)).withColumn("short", F.col("blocks") * block - F.col("source_size"))
     s = s.withColumn("passes", F.floor(F.col("words") / F.col("source_size"))).withColumn("rest", F.col("words") % F.col("source_size"))
@@ -93,49 +94,74 @@ def plan(sources: DataFrame, block: int, shard: int, seed: int) -> DataFrame:
     later = F.ceil((F.col("rest") + F.col("short")) / block)
     s = s.withColumn("last_slots", F.when(F.col("rest") == 0, 0).when(whole <= F.col("short_at"), whole).otherwise(F.greatest(F.col("short_at") + 1, later)))
     s = s.withColumn("slots", F.col("passes") * F.col("blocks") + F.col("last_slots"))
-    ordered = W.orderBy("order").rowsBetween(W.unboundedPreceding, -1)
-    s = s.withColumn("first", F.coalesce(F.sum("slots").over(ordered), F.lit(0)))
-    s = s.withColumn("all_slots", F.sum("slots").over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    everything = W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    return s.withColumn("shards", F.ceil(F.sum("slots").over(everything) / shard))
+
+
+def _spread(df: DataFrame, *by: str) -> DataFrame:
+    """Dealt over a fixed number of partitions: rows that are few before they are opened would be put together again."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
-    runs = s.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / RUN))).alias("run"))
-    # A fixed number of partitions: the rows are few before they are opened, so they would be put together again.
-    runs = runs.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "order", "run")
+
+def draws(quota: DataFrame, seed: int) -> DataFrame:
+    """(order, shard, n): the number of slots of each source in each shard, multinomial over the shards."""
+    runs = quota.select("order", "slots", "shards", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / RUN))).alias("run"))
     end = F.least(F.col("slots"), (F.col("run") + 1) * RUN) - 1
-    j = runs.select("*", F.explode(F.sequence(F.col("run") * RUN, end)).alias("j"))
+    drawn = _spread(runs, "order", "run").select("order", "shards", F.explode(F.sequence(F.col("run") * RUN, end)).alias("j"))
+    drawn = drawn.select("order", F.pmod(F.xxhash64(F.lit(seed), F.lit("shards"), "order", "j"), "shards").alias("shard"))
+    return drawn.groupBy("order", "shard").agg(F.count("*").alias("n"))
+
+
+def plan(sources: DataFrame, stage: Stage, block: int, shard: int, seed: int) -> DataFrame:
+    """The slots: order (of the source), pass, block, words taken from the block's start, shard, slot.
+
+    From rows (order, source_size, target).
+    """
+    s = stage.write(quotas(sources, block, shard, seed), "quotas")
+    n = stage.write(draws(s, seed).withColumn("run", F.floor(F.col("shard") / RUN)), "draws")
+    before = W.unboundedPreceding, -1
+    runs = n.groupBy("order", "run").agg(F.sum("n").alias("n"))
+    runs = runs.select(F.col("order").alias("o"), F.col("run").alias("r"), F.coalesce(F.sum("n").over(W.partitionBy("order").orderBy("run").rowsBetween(*before)), F.lit(0)).alias("offset"))
+    inner = F.coalesce(F.sum("n").over(W.partitionBy("order", "run").orderBy("shard").rowsBetween(*before)), F.lit(0))
+    n = n.withColumn("inner", inner).join(runs, (F.col("order") == F.col("o")) & (F.col("run") == F.col("r"))).drop("o", "r")
+    slot = F.coalesce(F.sum("n").over(W.partitionBy("shard").orderBy("order").rowsBetween(*before)), F.lit(0))
+    n = n.select("order", "shard", "n", (F.col("offset") + F.col("inner")).alias("first"), slot.alias("slot"))
+    n = _spread(n, "order", "shard").join(small_side(s.withColumnRenamed("order", "o")), F.col("order") == F.col("o")).drop("o")
+    j = n.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k")).withColumn("j", F.col("first") + F.col("k"))
     j = j.withColumn("pass", F.floor(F.col("j") / F.col("blocks"))).withColumn("at", F.col("j") % F.col("blocks"))
     j = j.withColumn("block", shuffled(F.col("at"), F.col("blocks"), [F.lit(seed), F.col("order"), F.col("pass")]))
     size = F.when(F.col("block") == F.col("blocks") - 1, block - F.col("short")).otherwise(F.lit(block))
     before = F.col("at") * block - F.when(F.col("at") > F.col("short_at"), F.col("short")).otherwise(F.lit(0))
     taken = F.when(F.col("pass") < F.col("passes"), size).otherwise(F.greatest(F.lit(0), F.least(size, F.col("rest") - before)))
-    place = shuffled(F.col("first") + F.col("j"), F.col("all_slots"), [F.lit(seed), F.lit("shards")])
-    return j.select("order", "pass", "block", taken.cast("long").alias("words"), F.floor(place / shard).alias("shard"), (place % shard).alias("slot"))
+    return j.select("order", "pass", "block", taken.cast("long").alias("words"), "shard", (F.col("slot") + F.col("k")).alias("slot"))
 
 
-def placed(docs: DataFrame, stage: Stage, carry: tuple[str, ...] = (), cells: int = CELLS) -> tuple[DataFrame, DataFrame]:
+def placed(docs: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
     """The documents with their place in their source's row of words, and the sources with their targets."""
     text = F.col("text").cast("string")
-    d = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(text).alias("size"), F.xxhash64(text).alias("hash"), *carry)
-    d = stage.write(d.withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.lit(cells))), "sizes")
+    d = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(text).alias("size"), F.xxhash64(text).alias("hash"))
+    d = stage.write(d, "sizes")
+    d = d.withColumn("cell", F.pmod(F.xxhash64("doc_id", "hash"), F.lit(max(CELLS, -(-d.count() // CELL)))))
     sources = stage.write(targets(d), "sources")
     cell = d.groupBy("source", "cell").agg(F.sum("size").alias("sum"))
     offset = F.coalesce(F.sum("sum").over(W.partitionBy("source").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     cell = cell.select(F.col("source").alias("s"), F.col("cell").alias("k"), offset.alias("offset"))
-    inner = W.partitionBy("source", "cell").orderBy("doc_id", "size", "hash", *carry).rowsBetween(W.unboundedPreceding, -1)
+    inner = W.partitionBy("source", "cell").orderBy("doc_id", "size", "hash").rowsBetween(W.unboundedPreceding, -1)
     d = d.withColumn("before", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     d = d.join(cell, F.col("source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("k"))).withColumn("start", F.col("offset") + F.col("before"))
     s = sources.withColumnRenamed("source", "s2")
     d = d.drop("s", "k").join(s, F.col("source").eqNullSafe(F.col("s2")))
-    return d.select("doc_id", "source", "size", "hash", "order", "start", "source_size", "target", *carry), sources
+    return d.select("doc_id", "source", "size", "hash", "order", "start", "source_size", "target"), sources
 
 
-def takes(docs: DataFrame, sources: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> DataFrame:
+def takes(docs: DataFrame, sources: DataFrame, stage: Stage, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> DataFrame:
     """A row for each slot that takes words of a document: order, start, pass, lo, hi, shard, slot.
 
     From what ``placed`` returns; lo and hi count the document's words.
     """
     last = F.floor((F.col("start") + F.col("size") - 1) / block)
     pieces = docs.where("size > 0").select(F.col("order").alias("o"), "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), last)).alias("b"))
-    slots = plan(sources, block, shard, seed)
+    slots = plan(sources, stage, block, shard, seed)
     both = pieces.join(slots.hint("shuffle_merge"), (F.col("o") == F.col("order")) & (F.col("b") == F.col("block")))
     lo = F.greatest(F.col("b") * block, F.col("start")) - F.col("start")
     hi = F.least(F.col("b") * block + F.col("words"), F.col("start") + F.col("size")) - F.col("start")
@@ -143,13 +169,14 @@ def takes(docs: DataFrame, sources: DataFrame, block: int = BLOCK, shard: int =
 
 
 def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target and taken (words, repeats counted) of every document."""
+    """doc_id, size, source_size, target, taken (words, repeats counted) and shards (that they go to) of every document."""
     stage = Stage(docs.sparkSession, "mixing")
     d, sources = placed(docs, stage)
-    got = takes(d, sources, block, shard, seed).groupBy("order", "start").agg(F.sum(F.col("hi") - F.col("lo")).alias("got"))
-    got = got.select(F.col("order").alias("o"), F.col("start").alias("at"), "got")
+    got = takes(d, sources, stage, block, shard, seed).groupBy("order", "start")
+    got = got.agg(F.sum(F.col("hi") - F.col("lo")).alias("got"), F.size(F.collect_set("shard")).cast("long").alias("several"))
+    got = got.select(F.col("order").alias("o"), F.col("start").alias("at"), "got", "several")
     out = d.join(got, (F.col("order") == F.col("o")) & (F.col("start") == F.col("at")) & (F.col("size") > 0), "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", *(F.coalesce(c, F.lit(0)).cast("long").alias(k) for c, k in (("got", "taken"), ("several", "shards"))))
 
 
 def mixed(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> DataFrame:
@@ -161,7 +188,7 @@ def mixed(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = S
     """
     stage = Stage(docs.sparkSession, "mixed")
     d, sources = placed(docs, stage)
-    parts = takes(d, sources, block, shard, seed).groupBy("order", "start", "pass")
+    parts = takes(d, sources, stage, block, shard, seed).groupBy("order", "start", "pass")
     parts = parts.agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("_ranges"), F.sum(F.col("hi") - F.col("lo")).alias("_n"))
     names = {"_id": F.col("doc_id"), "_source": F.col("source"), "_hash": F.col("hash"), "_size": F.col("size"), "_o": F.col("order"), "_at": F.col("start")}
     d = d.where("size > 0").select(*(c.alias(k) for k, c in names.items()))
