@@ -12,7 +12,8 @@ language, by a hash of doc_id. Scoring reads every whole text.
 Defined cases: a text that is null or has no letter gets ``und`` and score 0.
 With nothing to learn from, every prediction is ``und``. Of equally likely
 languages the first by code point is taken. A null doc_id is scored, not
-learnt from, and not held out. Repeated rows are scored alike. Columns other
+learnt from, and not held out. Repeated rows are scored alike. A text of any length is
+scored whole, in blocks of characters. An empty table gives an empty table. Columns other
 than doc_id, text and lang are not read.
 """
 
@@ -95,22 +96,32 @@ def train(rows: DataFrame, per_lang: int = PER_LANG, smoothing: float = 0.5) ->
 
 
 def score_texts(texts: list[str | None], model: dict) -> tuple[list[str], list[float]]:
-    """The likeliest language of each text and its probability."""
+    """The likeliest language of each text and its probability, of a batch at once.
+
+    The batch's sparse matrix of (text, bucket) is never built: its entries are
+    rows of the model's matrix, which are summed up text by text.
+    """
     langs, logp = model["langs"], model["logp"]
-    preds, scores = [], []
-    for text in texts:
-        if not langs or not text or not any(map(str.isalpha, text)):
-            preds.append("und")
-            scores.append(0.0)
-            continue
-        chars, total = _chars(text), model["prior"].copy()
-        for a in range(0, len(chars), BLOCK):
-            for order in ORDERS:
-                at = ngram_buckets(chars[a : a + BLOCK + order - 1], order)
-                total += logp.take(at, axis=0).sum(axis=0, dtype=np.float64)
-        best = int(np.argmax(total))
-        preds.append(langs[best])
-        scores.append(float(1 / np.exp(total - total[best]).sum()))
+    preds, scores = ["und"] * len(texts), [0.0] * len(texts)
+    some = [i for i, text in enumerate(texts) if text and any(map(str.isalpha, text))] if langs else []
+    if not some:
+        return preds, scores
+    each = [_chars(texts[i]) for i in some]
+    chars, row = np.concatenate(each), np.repeat(np.arange(len(each)), [len(x) for x in each])
+    total = np.tile(model["prior"], (len(each), 1))
+    for order in ORDERS:
+        at = ngram_buckets(chars, order)
+        for a in range(0, len(at), BLOCK):
+            own = slice(a, min(a + BLOCK, len(at)))
+            inside = row[own] == row[own.start + order - 1 : own.stop + order - 1]  # of one text
+            r = row[own][inside]
+            first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]][: len(r)])
+            if len(first):
+                total[r[first]] += np.add.reduceat(logp.take(at[own][inside], axis=0), first, axis=0, dtype=np.float64)
+    top = total.argmax(axis=1)
+    p = 1 / np.exp(total - total[np.arange(len(total)), top][:, None]).sum(axis=1)
+    for i, best, score in zip(some, top.tolist(), p.tolist(), strict=True):
+        preds[i], scores[i] = langs[best], score
     return preds, scores
 
 
