@@ -11,14 +11,19 @@ function fitted to the labelled sample.
 
 Learning reads a bounded sample of labelled rows: at most about ``POSITIVE``
 toxic and ``NEGATIVE`` other ones, by a hash of doc_id, of which near copies
-(the same two least word hashes) count once, and at most ``WINDOWS`` windows of
-each. The model has a fixed size and is broadcast. Scoring reads every whole
-text and shuffles nothing.
+(the same two least word hashes) count once, as the one of the least doc_id. A word
+marks toxic tokens if at least 0.7 of its documents in the sample are toxic, four
+of them at least, and this is over five standard deviations from chance; of such
+words the ``LEXICON`` oddest count. The chain is fitted to at most ``WINDOWS``
+windows of ``2 * AROUND`` tokens of each sampled document. What is learnt doesn't
+depend on how the rows are dealt over tasks. The model has a fixed size and is
+broadcast. Scoring reads every whole text and shuffles nothing.
 
 Defined cases: a null or empty text has no tokens and gets the score of a
 document without toxic tokens. Several labels of one doc_id count as the
 highest; a null label or doc_id teaches nothing. Without labels of both kinds
-to learn from, scores are 0. Repeated rows are scored alike. Columns other than
+to learn from, scores are 0. Repeated rows are scored alike. A text of any length is
+tagged whole, by one task. An empty table gives an empty table. Columns other than
 doc_id, text and toxic are not read.
 """
 
@@ -34,7 +39,7 @@ from pyspark.sql import functions as F
 
 from vecspark.llm.shared import Stage, sliced, uniform
 
-POSITIVE, NEGATIVE = 2500, 5000
+POSITIVE, NEGATIVE, LEXICON = 2500, 5000, 2000
 WINDOWS, AROUND, STEPS = 6, 10, 60
 FEATURES, LONGEST = 1 << 16, 20.0
 #: Words whose odds a task keeps at most, and bytes of text that it tags at a time.
@@ -196,7 +201,8 @@ def learn(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, negative
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(least, pa.string()), pa.array(words, pa.list_(pa.string())), batch.column("text")], ["doc_id", "toxic", "sketch", "words", "text"])
 
     sample = sample.mapInArrow(sketch, "doc_id long, toxic int, sketch string, words array<string>, text string")
-    sample = stage.write(sample.dropDuplicates(["toxic", "sketch"]), "sample")
+    sample = sample.groupBy("toxic", "sketch").agg(F.min(F.struct("doc_id", "text", "words")).alias("least"))  # the same row in every run
+    sample = stage.write(sample.select("toxic", "least.*"), "sample")
     n = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(n) < 2:
         return None
@@ -204,7 +210,7 @@ def learn(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, negative
     words = sample.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("c"), F.count("*").alias("n"))
     z = (F.col("c") - part * F.col("n")) / F.sqrt(F.col("n") * (part * (1 - part)))
     marked = words.where((F.col("c") >= min(4, n[1])) & (F.col("c") >= 0.7 * F.col("n"))).select("word", z.alias("z")).where("z > 5")
-    lexicon = frozenset(r.word for r in marked.orderBy(F.desc("z"), "word").limit(2000).collect())
+    lexicon = frozenset(r.word for r in marked.orderBy(F.desc("z"), "word").limit(LEXICON).collect())
 
     def windows(batches):
         for batch in sliced(batches, "text", SLICE):
@@ -223,7 +229,8 @@ def learn(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, negative
     seen = sample.select("text", "toxic").mapInArrow(windows, "words array<string>, tags binary").toArrow()
     if not seen.num_rows:
         return None
-    model = fit(seen.column("words").to_pylist(), seen.column("tags").to_pylist())
+    seen = sorted(zip(seen.column("words").to_pylist(), seen.column("tags").to_pylist(), strict=True))  # in an order that doesn't depend on tasks
+    model = fit(*map(list, zip(*seen, strict=True)))
     sent = spark.sparkContext.broadcast(model)
 
     def evidence(batches):
@@ -235,6 +242,8 @@ def learn(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, negative
     table = sample.select("text", "toxic").mapInArrow(evidence, "toxic int, top double, sum double").toArrow()
     x = np.c_[table.column("top").to_numpy(), table.column("sum").to_numpy()]
     y = table.column("toxic").to_numpy().astype(float)
+    at = np.lexsort((x[:, 1], x[:, 0], y))
+    x, y = x[at], y[at]
     # The sample holds the two kinds at other rates than the labels do.
     share = (count[1] / (count[0] + count[1])) / part
     w = _logistic(x, y)
