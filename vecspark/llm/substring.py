@@ -17,7 +17,9 @@ are read again.
 Defined cases: a null text has no words. Texts shorter than a window keep all
 their words. Rows are told apart by their text, so a null or repeated doc_id
 changes nothing, and repeated rows are copies of one another: all of their
-words that windows cover go. Columns other than doc_id and text are not read.
+words that windows cover go. Windows are told apart by 64-bit hashes. A text of any
+length is worked on whole, by one task. An empty table gives an empty table. Columns
+other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecspark.llm.shared import Stage, grams, prefix_sums, row_of, signed, sliced, sliding, spans_hash, texts, words
+from vecspark.llm.shared import Stage, grams, prefix_sums, row_of, signed, sliced, sliding, small_side, spans_hash, texts, words
 
 WINDOW, BASE = 35, 9
 
@@ -175,13 +177,18 @@ def _cut(docs: DataFrame, window: int, base: int) -> tuple[DataFrame, DataFrame]
     docs = _keyed(docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
     steps = levels(window, base)
     scanned = stage.write(_scan(docs.select("doc_id", "h1", "h2", "text"), window, steps[0]), "scanned")
-    groups = scanned.where(F.col("n_words") >= window).groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.first("found").alias("found"))
+    groups = scanned.where(F.col("n_words") >= window).groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min(F.coalesce("doc_id", F.lit(0))).alias("id"), F.first("found").alias("found"))
     groups = stage.write(groups.withColumn("rid", F.monotonically_increasing_id()).withColumn("weight", F.least("copies", F.lit(2)).cast("int")), "groups")
     alive = stage.write(_alive(groups.select("rid", "weight", "found"), True, stage, f"{steps[0]}"), f"alive{steps[0]}")
-    some = groups.select("h1", "h2", "rid", "weight").join(alive.select("rid"), "rid", "left_semi")
-    work = docs.select("h1", "h2", "text").join(some, ["h1", "h2"]).groupBy("h1", "h2").agg(*(F.first(k).alias(k) for k in ("rid", "weight", "text")))
+    some = groups.select("h1", "h2", "id", "rid", "weight").join(alive.select("rid"), "rid", "left_semi")
+    # One row of each text is read again, so that copies' texts never meet; more only where its doc_id has the same text twice.
+    own = F.coalesce("doc_id", F.lit(0))
+    work = docs.select("h1", "h2", own.alias("id"), "text").join(small_side(some), ["h1", "h2", "id"])
+    work = work.groupBy("h1", "h2").agg(*(F.first(k).alias(k) for k in ("rid", "weight", "text")))
     work = stage.write(work.drop("h1", "h2"), "work")
     for before, length in zip(steps, steps[1:], strict=False):
+        if alive.isEmpty():
+            break
         found = stage.write(_level(work.join(alive, "rid"), window, before, length), f"found{length}")
         alive = stage.write(_alive(found, length < window, stage, f"{length}"), f"alive{length}")
         stage.drop(f"found{length}", f"alive{before}")
