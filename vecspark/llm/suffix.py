@@ -26,7 +26,9 @@ Texts that are equal as a whole are first drawn together.
 Defined cases: a null text is empty. Texts under ``length`` bytes keep all.
 Documents are compared by doc_id; a null doc_id comes after all others and
 neither gives nor gets matches, rows of one doc_id don't match each other. Of
-repeated rows each gets the same result. Other columns are not read.
+repeated rows each gets the same result. Triggers, phrases and runs across pieces are
+told apart by 64-bit hashes. A text of any length is parsed whole, by one task. An
+empty table gives an empty table. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -44,6 +46,8 @@ from vecspark.llm.substring import chosen
 LENGTH, GRAM = 50, 20
 #: Bytes of text whose triggers one packed message holds.
 BATCH_BYTES = 1 << 25
+#: Bytes of text whose triggers one task puts together; these are a hash in about 16 bytes.
+PART_BYTES = 1 << 25
 ONCE, TWICE, KNOWN = 0, 1, 2
 #: Phrases of one trigger that one task sorts; those of triggers with more are sorted in pieces.
 GROUP = 4096
@@ -96,9 +100,13 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, docs, np.frombuffer(blob, np.uint8, n, 16 + 8 * (n + m) + 4 * n)
 
 
-def shared_triggers(docs: DataFrame, length: int) -> DataFrame:
-    """(doc_id, v): the trigger hashes of each document that are in another one too."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def shared_triggers(docs: DataFrame, length: int, n_bytes: int) -> DataFrame:
+    """(doc_id, v): the trigger hashes of each document that are in another one too.
+
+    Messages go to so many parts that each holds those of about ``PART_BYTES`` of
+    the documents' ``n_bytes``.
+    """
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // PART_BYTES))
 
     def send(batches):
         held, size, count = [], 0, 0
@@ -308,7 +316,8 @@ def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     copies = later.where("later").drop("later")
     own = d.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).join(small_side(copies), ["doc_id", "h1", "h2"], "left_anti")
 
-    alive = stage.write(shared_triggers(own, length).groupBy("doc_id").agg(F.collect_set("v").alias("alive")), "alive")
+    n_bytes = seen.agg(F.sum("n_bytes").alias("n")).first().n or 0
+    alive = stage.write(shared_triggers(own, length, n_bytes).groupBy("doc_id").agg(F.collect_set("v").alias("alive")), "alive")
     both = parse(own.select("doc_id", "text").join(alive, "doc_id"), length).withColumn("kind", F.col("at").isNull().cast("int"))
     both = stage.write(both, "parse", by="kind")
     parsed, pieces = both.where("kind = 0"), both.where("kind = 1")
