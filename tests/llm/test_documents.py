@@ -1,11 +1,14 @@
 """Operators on documents against brute force, on a small table and on awkward rows."""
 
 import hashlib
+import math
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm.common import WORD, documents, edge_rows, empty, frame, text_of
@@ -99,7 +102,7 @@ def test_minhash_query(spark, sf):
 
 def test_minhash_dense_region(spark, monkeypatch):
     """Regions far over their size: many near copies, exact copies, and a chain whose ends aren't linked."""
-    monkeypatch.setattr(minhash, "REGION", 8)
+    monkeypatch.setattr(minhash, "REGION", 4)
     base = text_of(9, 150).split()
     rows = []
     for i in range(90):
@@ -112,21 +115,43 @@ def test_minhash_dense_region(spark, monkeypatch):
     assert Counter(map(tuple, minhash.near_duplicates(frame(spark, rows), 4).collect())) == near_expected(rows, 4)
 
 
-def test_minhash_template_family(spark, monkeypatch):
-    """Links at the threshold between documents of large families that are themselves below it."""
-    for name, value in (("REGION", 8), ("CROWD", 4), ("CELL", 16), ("CELL_ITEMS", 4000)):
-        monkeypatch.setattr(minhash, name, value, raising=False)
+def template_family(n, links, seed=0):
+    """n documents that are 0.74 alike through a common text; the first ``links`` have one more document that is 0.81 like them."""
     common, rows = text_of(50, 200), []
-    for i in range(120):  # 0.74 alike
-        own = text_of(1000 + i, 34).split()
+    for i in range(n):
+        own = text_of(seed + 1000 + i, 34).split()
         rows.append((i, " ".join([common, *own])))
-        if i % 2:  # and one more document each that is 0.81 like it
-            rows.append((500 + i, " ".join([common, *own[:10], *text_of(7000 + i, 24).split()])))
+        if i < links:
+            rows.append((100_000 + i, " ".join([common, *own[:10], *text_of(seed + 500_000 + i, 24).split()])))
+    return rows
+
+
+@pytest.mark.parametrize(("cell", "items"), [(16, 4000), (minhash.CELL, minhash.CELL_ITEMS)])
+def test_minhash_template_family(spark, monkeypatch, cell, items):
+    """Links at the threshold between documents of a large family that are themselves below it."""
+    monkeypatch.setattr(minhash, "CELL", cell)
+    monkeypatch.setattr(minhash, "CELL_ITEMS", items)
+    rows = template_family(300, 60)
     expected = near_expected(rows, 4)
     assert sum(not kept for *_, kept in expected.elements()) == 60
     assert Counter(map(tuple, minhash.near_duplicates(frame(spark, rows), 4).collect())) == expected
 
 
+def test_minhash_pairs_grow_with_documents(spark, tmp_path):
+    """A family below the threshold makes candidates in proportion to its size."""
+    from vecspark.llm.shared import Stage
+
+    made = []
+    for n in (300, 600):
+        docs, stage = frame(spark, template_family(n, 0)).select("doc_id", "text"), Stage(spark, "pairs")
+        sig = stage.write(minhash.signatures(docs, 4).select(F.col("doc_id").alias("id"), "n", "sig"), "sig")
+        shared = minhash.regions(sig, stage)
+        sets = minhash.sets_of(docs, shared.select("id").distinct(), 4)
+        minhash.rare_links(sets.withColumn("label", F.col("id")), 80, stage).count()
+        made.append((minhash.neighbours(shared.join(sig, "id"), 80).count(), spark.read.parquet(f"{stage.root}/dealt").count()))
+    assert made[1][0] <= 2.5 * made[0][0] and made[1][1] <= 2.5 * made[0][1] + 300, made
+
+
 # --- suffixes and substrings -------------------------------------------------------
 
 
@@ -231,12 +256,46 @@ def test_langid_edges(spark):
     assert {r.lang_pred for r in langid.identify(frame(spark, [(1, "abc", None, None)])).collect()} == {"und"}
 
 
-def test_naive_bayes_by_hand():
-    texts = ["abab", "bbbb"]
-    counts = [langid._counts([t]) + 0.5 for t in texts]
-    model = {"langs": ["x", "y"], "prior": np.log([0.5, 0.5]), "logp": np.stack([np.log(c / c.sum()) for c in counts], 1).astype(np.float32)}
-    preds, scores = langid.score_texts(["abababab", "bbb", None, "12"], model)
-    assert preds == ["x", "y", "und", "und"] and scores[0] > 0.5
+def plain_ngrams(text):
+    """Buckets of 1- to 3-grams, one by one, with plain integers."""
+    out, chars = [], [ord(c) for c in text.lower()]
+    for order in (1, 2, 3):
+        for a in range(len(chars) - order + 1):
+            h = order * 0x9E3779B1 & 0xFFFFFFFF
+            for c in chars[a : a + order]:
+                h = (h ^ c) * 0x85EBCA6B & 0xFFFFFFFF
+                h ^= h >> 15
+            out.append(h % langid.BUCKETS)
+    return out
+
+
+def test_naive_bayes_by_brute_force(spark):
+    """Every prediction and score from counts made without the operator, in one batch and text by text."""
+    rows = [(i, text_of(i, 5 + i % 9) + (" été où ça" * (i % 4) if i % 2 else " the and of"), "fr" if i % 2 else "en", None) for i in range(60)]
+    rows += [(100, None, "en", None), (101, "123 !", "fr", None), (102, "Ünd ÉTÉ", None, None), (103, "x", None, None), (104, text_of(9, 3000), None, None)]
+    counts, n = {"en": Counter(), "fr": Counter()}, Counter()
+    for i, text, lang, _ in rows:
+        if lang and text is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            counts[lang].update(plain_ngrams(text))
+            n[lang] += 1
+    expected = {}
+    for i, text, _, _ in rows:
+        if not text or not any(c.isalpha() for c in text):
+            expected[i] = ("und", 0.0)
+            continue
+        total = {}
+        for lang, c in counts.items():
+            whole = sum(c.values()) + 0.5 * langid.BUCKETS
+            total[lang] = math.log(n[lang] / sum(n.values())) + sum(math.log((c[b] + 0.5) / whole) for b in plain_ngrams(text))
+        best = max(total, key=total.get)
+        expected[i] = (best, 1 / sum(math.exp(max(-700, t - total[best])) for t in total.values()))
+    got = {r.doc_id: r for r in langid.identify(frame(spark, rows)).collect()}
+    assert {i: r.lang_pred for i, r in got.items()} == {i: e[0] for i, e in expected.items()}
+    assert all(abs(r.score - expected[i][1]) < 1e-3 for i, r in got.items())
+    model = langid.train(frame(spark, rows))
+    texts = [t for _, t, _, _ in rows]
+    whole, alone = langid.score_texts(texts, model), [langid.score_texts([t], model) for t in texts]
+    assert whole[0] == [p[0] for p, _ in alone] and np.allclose(whole[1], [x[0] for _, x in alone])
 
 
 def chain_brute(odds, e, start):
@@ -306,9 +365,48 @@ def test_toxicity_without_labels(spark):
     assert toxicity.classify(empty(spark), labels).count() == 0
 
 
-def test_toxicity_query(spark, sf):
-    got = queries.op4_toxicity(spark, sf)
-    assert got.columns[:4] == ["doc_id", "held_out", "score", "predicted"] and got.count() == len(documents(sf))
+def test_toxicity_does_not_depend_on_partitions(spark):
+    rows, labels = labelled(spark, 200)
+    rows += [(5000, rows[0][1]), (5001, rows[3][1])]
+    labels = labels.union(spark.createDataFrame([(5000, 1), (5001, 1)], labels.schema))
+    docs = frame(spark, rows)
+    a, b = (sorted((r.doc_id, r.score) for r in toxicity.classify(docs.repartition(n), labels.repartition(n)).collect()) for n in (1, 7))
+    assert a == b
+
+
+def test_toxicity_query(spark):
+    """Held-out documents, and spans against marginals summed over all paths, at a table that has enough labels."""
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in queries.op4_toxicity(spark, sf).collect()}
+    assert len(got) == len(documents(sf))
+    toxic = dict(duckdb.sql(f"SELECT doc_id, toxic FROM '{sf}/labels.parquet' WHERE toxic IS NOT NULL").fetchall())
+    held = [(got[i].predicted, t) for i, t in toxic.items() if i in got and got[i].held_out]
+    hits = sum(p == t == 1 for p, t in held)
+    assert sum(t for _, t in held) > 1 and 2 * hits / (sum(p for p, _ in held) + sum(t for _, t in held)) >= 0.8
+    text = dict(documents(sf))
+    assert all(r.predicted == int(r.score >= 0.5) and 0 <= r.score <= 1 for r in got.values())
+    assert all(toxicity.TOKEN.fullmatch(text[i][s.start : s.end]) for i, r in got.items() for s in r.spans)
+    assert any(r.spans for r in got.values() if r.predicted)
+
+
+def test_tagger_by_brute_force():
+    """Scores' evidence and marginals of short texts by summing over all paths, from the weights alone."""
+    words = [["vile", "good", "day"], ["nice", "vile", "rat"], ["good", "nice", "day"]]
+    model = toxicity.fit(words, [b"\x01\0\0", b"\0\x01\x01", b"\0\0\0"])
+    e, start = np.exp(model["moves"][1:]).reshape(2, 2), float(np.exp(model["moves"][0]))
+    texts = ["vile day, good rat!", "", "nice", "good unseen vile"]
+    marginals, found = toxicity.Tagger(model).tag(texts)
+    for text, p, (top, total) in zip(texts, marginals, found, strict=True):
+        tokens = toxicity.TOKEN.findall(text)
+        if not tokens:
+            assert (len(p), top, total) == (0, -8, 0)
+            continue
+        odds = chain_brute([float(model["weights"][toxicity.features(w)].sum()) for w in tokens], e, start)
+        assert np.allclose(p, odds / (1 + odds), atol=1e-5)
+        own = odds / (1 + odds)
+        assert np.isclose(top, np.clip(np.log(odds.max()), -8, 8), atol=1e-4) and np.isclose(total, np.log1p(own[own > 0.2].sum()), atol=1e-4)
 
 
 # --- mixing --------------------------------------------------------------------------
@@ -349,14 +447,78 @@ def test_mixing_edges(spark, block):
         assert abs(taken[key] - sum(expected[s] for s in names)) <= len(names)
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(frame(spark, rows), block, 16).collect()), key=str)
     assert mixing.mix(empty(spark)).count() == 0
-    assert [tuple(r) for r in mixing.mix(frame(spark, [(1, None), (2, "")])).collect()] == [(1, 0, 0, 0.0, 0), (2, 0, 0, 0.0, 0)]
+    assert sorted(tuple(r) for r in mixing.mix(frame(spark, [(1, None), (2, "")])).collect()) == [(1, 0, 0, 0.0, 0, 0), (2, 0, 0, 0.0, 0, 0)]
+
+
+def taken_expected(docs, slots, sources, block):
+    """Words taken of each document: the documents of a source end to end, and the slots' blocks of them."""
+    by, out = defaultdict(list), Counter()
+    for r in docs:
+        if r["size"]:
+            by[r.order].append((r.start, r.start + r["size"], r.doc_id))
+    starts = {}
+    for o, own in by.items():
+        own.sort(key=lambda x: x[0])
+        starts[o] = np.array([a for a, _, _ in own])
+        assert own[0][0] == 0 and all(x[1] == y[0] for x, y in zip(own, own[1:], strict=False)) and own[-1][1] == sources[o].source_size
+    for s in slots:
+        a, b = s.block * block, s.block * block + s.words
+        i = int(np.searchsorted(starts[s.order], a, "right")) - 1
+        while i < len(by[s.order]) and by[s.order][i][0] < b:
+            x, y, doc = by[s.order][i]
+            out[doc] += max(0, min(b, y) - max(a, x))
+            i += 1
+    return out
+
+
+@pytest.mark.parametrize("block", [5, 128])
+def test_mixing_by_brute_force(spark, sf, block):
+    """Every document's taken words, from the slots; the slots against the drawn counts and the targets."""
+    from vecspark.llm.shared import Stage
+
+    docs = queries.table(spark, sf, "documents")
+    stage = Stage(spark, "brute")
+    placed, sources = mixing.placed(docs, stage)
+    slots = mixing.plan(sources, stage, block, 64, mixing.SEED).collect()
+    source = {r.order: r for r in sources.collect()}
+    assert {r.source: round(r.target, 6) for r in source.values()} == {s: round(t, 6) for s, t in mix_targets({r.source: r.source_size for r in source.values()}).items()}
+    drawn = {(r.order, r.shard): r.n for r in spark.read.parquet(f"{stage.root}/draws").collect()}
+    assert Counter((s.order, s.shard) for s in slots) == drawn
+    shards, total = defaultdict(list), Counter()
+    for s in slots:
+        shards[s.shard].append(s.slot)
+        total[s.order] += s.words
+    assert all(sorted(x) == list(range(len(x))) for x in shards.values()) and len(shards) > 1
+    assert all(total[o] == round(r.target) for o, r in source.items())
+    passes = Counter((s.order, s["pass"], s.block) for s in slots)
+    assert max(passes.values()) == 1
+    for (o, p), blocks in Counter((s.order, s["pass"]) for s in slots).items():
+        assert blocks == -(-source[o].source_size // block) or p == max(s["pass"] for s in slots if s.order == o)
+    # Counts of shards scatter as multinomial ones do.
+    n, k = np.array([drawn.get((o, j), 0) for o in source for j in shards]).reshape(len(source), -1), len(shards)
+    mean = n.sum(axis=1, keepdims=True) / k
+    chi, degrees = float(((n - mean) ** 2 / mean).sum()), len(source) * (k - 1)
+    assert abs(chi - degrees) <= 5 * math.sqrt(2 * degrees), (chi, degrees)
+    expected = taken_expected(placed.collect(), slots, source, block)
+    got = mixing.mix(docs, block, 64).collect()
+    assert len(got) == len(documents(sf)) and {r.doc_id: r.taken for r in got if r.taken} == {i: t for i, t in expected.items() if t}
+    assert all(r.taken <= 3 * r["size"] and (r.shards > 0) == (r.taken > 0) for r in got)
 
 
 def test_mixing_query(spark, sf):
+    size, text = Counter(), documents(sf)
     got = queries.op10_mixing(spark, sf).toPandas()
-    by = got.groupby("source_size").agg(taken=("taken", "sum"), target=("target", "first"), kinds=("target", "nunique"))
-    by = by[by.kinds == 1]
-    assert len(got) == len(documents(sf)) and len(by) and (abs(by.taken - by.target) <= 1).all()
+    assert dict(zip(got.doc_id, got["size"], strict=True)) == {i: len(WORD.findall(t or "")) for i, t in text}
+    import duckdb
+
+    source = dict(duckdb.sql(f"SELECT doc_id, source FROM '{sf}/documents.parquet'").fetchall())
+    taken = Counter()
+    for r in got.itertuples():
+        size[source[r.doc_id]] += r.size
+        taken[source[r.doc_id]] += r.taken
+    expected = mix_targets(dict(size))
+    assert all(abs(taken[s] - t) <= 1 for s, t in expected.items())
+    assert all(abs(r.target - expected[source[r.doc_id]]) < 1e-6 and r.source_size == size[source[r.doc_id]] for r in got.itertuples())
 
 
 def test_mixing_permutation(spark):
