@@ -67,6 +67,65 @@ def test_fallback_replaces_short_answers(corpus, queries):
     assert rows(model.search(queries, 10, fallback_exact=True)) == brute(corpus, queries, 10)
 
 
+def test_model_is_written(spark, corpus, queries):
+    """A fitted index is read from its files; a search doesn't hash the corpus again."""
+    model = index.HypercubeIndex(index.HypercubeParams(3, 1.0, 1000, 8)).fit(corpus)
+    plan = model.postings._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Relation") and "aggregate" not in plan
+
+
+def test_drawn_bits(spark):
+    """Bits of neighbouring hash values are even and unrelated, and the same again."""
+    from pyspark.sql import functions as F
+
+    from vecspark.functions.vectors import drawn_bit
+
+    frame = spark.range(-2000, 2000).select(*(drawn_bit(F.col("id"), j, 7).alias(f"b{j}") for j in range(2)), drawn_bit(F.col("id"), 0, 8).alias("other"))
+    b = np.array(frame.orderBy(F.monotonically_increasing_id()).collect())
+    for x in (b[:, 0], b[1:, 0] ^ b[:-1, 0], b[:, 0] ^ b[:, 1], b[:, 0] ^ b[:, 2]):
+        assert abs(x.mean() - 0.5) < 0.05
+
+
+def test_train_sample_of_large_ids(spark):
+    rows = spark.createDataFrame([(10**18 + i,) for i in range(50)] + [(i,) for i in range(50)], "vec_id long")
+    first, again = ([r.vec_id for r in topk.train_sample(rows.repartition(n), "vec_id", 40, 3).collect()] for n in (1, 5))
+    assert len(set(first)) == 40 and sorted(first) == sorted(again) and first != [r.vec_id for r in topk.train_sample(rows, "vec_id", 40, 4).collect()]
+    assert 8 <= sum(i < 50 for i in first) <= 32
+
+
+def test_network():
+    """Slopes against differences, and a task that only a hidden layer can learn."""
+    from vecspark.operators.network import Network
+
+    rng = np.random.default_rng(0)
+    x, y = rng.standard_normal((20, 4)), rng.integers(0, 3, 20)
+    n = Network([4, 6, 5, 3], 1)
+    for own, slope in zip(n.weights + n.offsets, n.slopes(x, y), strict=True):
+        at = tuple(rng.integers(0, s) for s in own.shape)
+        own[at] += 1e-6
+        up = n.loss(x, y)
+        own[at] -= 2e-6
+        down = n.loss(x, y)
+        own[at] += 1e-6
+        assert slope[at] == pytest.approx((up - down) / 2e-6, abs=1e-5)
+    x = rng.uniform(-1, 1, (600, 2))
+    y = (x[:, 0] * x[:, 1] > 0).astype(int)
+    n = Network([2, 32, 32, 2], 1).fit(x, y, 60, 32, 1e-2, 1)
+    assert (n.probabilities(x).argmax(axis=1) == y).mean() > 0.95
+    assert n.loss(x, y) < Network([2, 32, 32, 2], 1).fit(x, y, 1, 32, 1e-4, 1).loss(x, y)
+
+
+def test_neural_opens_the_right_bins(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((6, 8)) * 3
+    x = centres[np.arange(300) % 6] + 0.2 * rng.standard_normal((300, 8))
+    rows = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    model = index.NeuralLshIndex(index.NeuralLshParams(m=6, T=1, epochs=40, layers=2, nodes=32, lr=1e-2, batch_size=32)).fit(rows)
+    own = {r.vec_id: r.bucket for r in model.postings.collect()}
+    opened = {r.query_id: r.bucket for r in model.probes(rows).where("probe_rank = 1").collect()}
+    assert sum(own[i] == opened[i] for i in own) > 290
+
+
 def test_probe_masks():
     assert index.probe_masks(3, 8) == [0, 1, 2, 4, 3, 5, 6, 7]
     assert index.probe_masks(3, 1) == [0] and len(index.probe_masks(3, 100)) == 8
@@ -196,6 +255,11 @@ def test_search_and_grid(spark, corpus, queries):
     by = {r.method: r for r in out["by_method"].collect()}
     assert by["IVF-Flat"].mean_recall_at_n == 1.0 and by["IVF-Flat"].n_queries == 6 and by["IVF-PQ"].mean_qps > 0
     assert out["neighbors"].count() == 2 * 6 * 5
+    assert by["BLAST (Ref)"].mean_recall_at_n == 1.0 and by["BLAST (Ref)"].n_queries == 6 and by["BLAST (Ref)"].mean_time_per_query_s > 0
+    alone = search.search(corpus, queries, hits, "ivfflat", 10, 5, settings=settings, reference_seconds=0.5, one_by_one=True)
+    own = {(r.query_id, r.method): r for r in alone["summaries"].collect()}
+    assert len(own) == 12 and len({own[i, "IVF-Flat"].time_per_query_s for i in range(6)}) > 1 and own[3, "BLAST (Ref)"].qps == 2.0
+    assert sorted(map(tuple, alone["neighbors"].select("query_id", "rank", "neighbor_id").collect())) == sorted(map(tuple, out["neighbors"].where("method = 'IVF-Flat'").select("query_id", "rank", "neighbor_id").collect()))
     with pytest.raises(ValueError):
         search.search(corpus, queries.where("false"), hits, "lsh")
     grid = search.grid_search(corpus, queries, hits, "hypercube", {"kproj": [2, 3], "probes": [1]}, 10)
@@ -203,6 +267,65 @@ def test_search_and_grid(spark, corpus, queries):
     assert wide.columns == sorted(wide.columns) and wide.count() == 2 and search.tradeoff(grid).count() == 2
 
 
+def test_seeds_by_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    text = ["".join(rng.choice(list("acgt "), n)) for n in (0, 2, 30, 60, 200, 200)] + ["acgtacgtacgt" * 20, "ACGTACGTACGT"]
+    s = spark.createDataFrame([(str(i), t) for i, t in enumerate(text)] + [("n", None)], "id string, sequence string")
+    plain = ["".join(t.strip().split(" ")).upper() for t in text]
+    mers = [{t[a : a + 3] for a in range(len(t) - 2)} for t in plain]
+    expected = sorted((str(i), str(j), len(a & b)) for i, a in enumerate(mers) for j, b in enumerate(mers) if len(a & b) >= 4)
+    for block in (alignment.SEED_BLOCK, 50):
+        monkeypatch.setattr(alignment, "SEED_BLOCK", block)
+        assert sorted(map(tuple, alignment.seed_candidates(s, s, 3, 4).collect())) == expected
+    assert alignment.seed_candidates(s.where("false"), s, 3, 1).count() == 0 == alignment.seed_candidates(s, s.where("false"), 3, 1).count()
+
+
+def test_device_and_protein_model(monkeypatch):
+    """Means of the tokens that aren't special, by a stand-in for the package; and devices without one."""
+    import sys
+    import types
+
+    for name in ("cpu", "auto"):
+        assert embed.device(name) == "cpu"
+    for bad in ("gpu", "cuda"):
+        with pytest.raises(ValueError):
+            embed.device(bad)
+
+    class Tensor(np.ndarray):
+        def to(self, *_):
+            return self
+
+        float = cpu = lambda self: self
+        numpy = lambda self: np.asarray(self)
+
+    def tensor(x):
+        return np.asarray(x).view(Tensor)
+
+    class Net:
+        num_layers = 2
+        eval = lambda self: self
+        to = lambda self, _: self
+
+        def __call__(self, tokens, repr_layers, return_contacts):
+            return {"representations": {repr_layers[0]: tensor(np.stack([tokens * 1.0, tokens * 10.0], axis=2))}}
+
+    class Alphabet:
+        padding_idx, cls_idx, eos_idx = 1, 0, 2
+
+        def get_batch_converter(self):
+            def convert(rows):
+                wide = max(len(s) for _, s in rows) + 2
+                return None, None, tensor([[0, *map(ord, s), 2, *[1] * (wide - len(s) - 2)] for _, s in rows])
+
+            return convert
+
+    torch = types.SimpleNamespace(no_grad=__import__("contextlib").nullcontext, zeros_like=lambda t, dtype: tensor(np.zeros(t.shape, bool)), bool=bool, cuda=types.SimpleNamespace(is_available=lambda: False))
+    monkeypatch.setitem(sys.modules, "torch", torch)
+    monkeypatch.setitem(sys.modules, "esm", types.SimpleNamespace(pretrained=types.SimpleNamespace(tiny=lambda: (Net(), Alphabet()))))
+    got = embed.ProteinModel("tiny")(["AC", "M"])
+    assert got.tolist() == [[66.0, 660.0], [77.0, 770.0]]
+
+
 def test_stream(spark, corpus, queries, tmp_path):
     from vecspark.streaming import search_stream
 

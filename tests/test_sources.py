@@ -100,9 +100,11 @@ def test_csv_and_grids(spark, tmp_path):
     hits.write_csv(rows, str(tmp_path / "one"), {"qps": "%.6f"}, sort_columns=True)
     text = "".join(p.read_text() for p in (tmp_path / "one").glob("*.csv"))
     assert text == "avg_recall,method,ok,qps\n0.5,lsh,Yes,2.000000\n"
-    both = hits.read_grids(spark, [str(tmp_path / "one"), str(tmp_path / "missing")])
+    with pytest.warns(UserWarning, match="not exist"):
+        both = hits.read_grids(spark, [str(tmp_path / "one"), str(tmp_path / "missing")])
     assert [tuple(r) for r in both.collect()] == [("lsh", 2.0, 0.5)]
-    assert hits.read_grids(spark, [str(tmp_path / "missing")]) is None
+    with pytest.warns(UserWarning, match="not exist"):
+        assert hits.read_grids(spark, [str(tmp_path / "missing")]) is None
     assert search.tradeoff(both, "recall").count() == 1
 
 

@@ -42,9 +42,10 @@ def projection(a: Column, direction: list[float], offset: float, width: float) -
     return F.floor((dot(a, F.lit([float(x) for x in direction])) + F.lit(float(offset))) / F.lit(float(width)))
 
 
-def parity_bit(hash_value: Column, projection_number: int) -> Column:
-    """A bit that depends on the hash value and the number of its projection alone."""
-    return F.pmod(hash_value * 3 + projection_number, F.lit(2))
+def drawn_bit(hash_value: Column, projection_number: int, seed: int) -> Column:
+    """A random bit for each hash value of each projection: the first one of a digest of the three."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(projection_number)), hash_value.cast("string")).cast("binary"))
+    return (F.substring(digest, 1, 1) >= "8").cast("long")
 
 
 def pack_bits(bits: list[Column]) -> Column:

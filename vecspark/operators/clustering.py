@@ -5,11 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.functions.vectors import as_vector
-from vecspark.operators.dense import collect_vectors, nearest_centroids
+from vecspark.operators.dense import collect_vectors, rows_of, squared
 from vecspark.operators.topk import train_sample
 
 
@@ -35,6 +36,30 @@ def means(rows: DataFrame, label: str) -> DataFrame:
     return by.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda s: s["x"]).alias("centroid"), F.max("n").alias("n"))
 
 
+def assigned_means(rows: DataFrame, centroids: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(cluster_id, centroid): the means of the rows nearest to each centroid.
+
+    A task sums up its rows by centroid, so a row for each centroid and task is shuffled.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(centroids)
+
+    def run(batches):
+        names, c = sent.value
+        total, n = np.zeros(c.shape), np.zeros(len(c), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                x = rows_of(batch.column("v"))
+                at = np.argmin(np.round(squared(x, c), 10), axis=1)
+                np.add.at(total, at, x)
+                n += np.bincount(at, minlength=len(c))
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(names[some].astype(np.int32)), pa.array(list(total[some]), pa.list_(pa.float64())), pa.array(n[some])], ["cluster_id", "total", "n"])
+
+    sums = rows.select(as_vector("embedding").alias("v")).mapInArrow(run, "cluster_id int, total array<double>, n long")
+    each = sums.select("cluster_id", "n", F.posexplode("total").alias("p", "x")).groupBy("cluster_id", "p").agg((F.sum("x") / F.sum("n")).alias("x"))
+    return each.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda s: s["x"]).alias("centroid"))
+
+
 def centroid_table(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Centroids (cluster_id, centroid) on the driver: as many rows as there are clusters."""
     return collect_vectors(centroids, "cluster_id", "centroid")
@@ -53,8 +78,7 @@ def lloyd(rows: DataFrame, params: KMeansParams) -> tuple[np.ndarray, np.ndarray
         raise ValueError("k is larger than the number of vectors")
     names = np.arange(params.k)
     for _ in range(params.max_iter):
-        assigned = rows.join(nearest_centroids(rows, (names, c)), "vec_id")
-        ids, new = centroid_table(means(assigned, "cluster_id"))
+        ids, new = centroid_table(assigned_means(rows, (names, c)))
         moved = c.copy()
         moved[ids] = new
         shift = float(np.sqrt(((moved - c) ** 2).sum(axis=1)).max())

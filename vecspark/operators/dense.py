@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from vecspark.functions.vectors import as_vector
 from vecspark.operators.topk import DECIMALS, nearest
 
-#: Queries that are sent to the tasks at a time.
-BLOCK = 4096
+#: Queries that are sent to the tasks at a time, and distances that a task holds.
+BLOCK, PIECE = 4096, 1 << 22
 
 
 def rows_of(column: pa.Array) -> np.ndarray:
@@ -39,6 +39,31 @@ def collect_vectors(rows: DataFrame, id_col: str = "vec_id", vector: str = "embe
     return table.column("id").to_numpy(), rows_of(table.column("v").combine_chunks())
 
 
+def _closer(best: tuple, worst: np.ndarray, ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, exclude_self: bool) -> tuple:
+    """The k nearest of each query among ``best`` and rows x; ``worst`` is kept up to date.
+
+    Distances by expansion choose the rows whose own distances are then taken.
+    """
+    near = np.sqrt(squared(x, q))
+    if exclude_self:
+        near[ids[:, None] == query_ids] = np.inf
+    last = np.partition(near, k - 1, axis=0)[k - 1] if len(x) > k else np.full(len(q), np.inf)
+    rows, at = np.nonzero((near <= np.minimum(last, worst) + 2 * 10.0**-DECIMALS) & np.isfinite(near))
+    d = np.empty(len(rows))
+    for a in range(0, len(rows), PIECE // 64):
+        own = slice(a, a + PIECE // 64)
+        diff = x[rows[own]] - q[at[own]]
+        d[own] = np.round(np.sqrt(np.einsum("ij,ij->i", diff, diff)), DECIMALS)
+    at, names, d = (np.concatenate(c) for c in zip(best, (at, ids[rows], d), strict=True))
+    order = np.lexsort((names, d, at))
+    at, names, d = at[order], names[order], d[order]
+    first = np.searchsorted(at, np.arange(len(q)))
+    rank = np.arange(len(at)) - first[at]
+    full = np.flatnonzero(rank == k - 1)
+    worst[at[full]] = d[full]
+    return at[rank < k], names[rank < k], d[rank < k]
+
+
 def exact_knn(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = False, block: int = BLOCK) -> DataFrame:
     """query_id, rank, neighbor_id, l2_dist: the k nearest of the corpus, by full scan.
 
@@ -59,23 +84,17 @@ def exact_knn(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool
 
         def run(batches, sent=sent):
             query_ids, q = sent.value
-            best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(query_ids)
+            best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)  # query number, id, distance
+            worst = np.full(len(query_ids), np.inf)
             for batch in batches:
                 if not batch.num_rows or not len(query_ids):
                     continue
                 ids, x = batch.column("vec_id").to_numpy(), rows_of(batch.column("embedding"))
-                for i, v in enumerate(q):
-                    diff = x - v
-                    d = np.round(np.sqrt(np.einsum("ij,ij->i", diff, diff)), DECIMALS)
-                    keep = np.flatnonzero(ids != query_ids[i]) if exclude_self else np.arange(len(ids))
-                    if len(keep) > k:
-                        keep = keep[d[keep] <= np.partition(d[keep], k - 1)[k - 1]]
-                    i_all, d_all = np.concatenate([best[i][0], ids[keep]]), np.concatenate([best[i][1], d[keep]])
-                    top = np.lexsort((i_all, d_all))[:k]
-                    best[i] = (i_all[top], d_all[top])
-            for qid, (ids, d) in zip(query_ids.tolist(), best, strict=True):
-                if len(ids):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), qid)), pa.array(ids), pa.array(d)], ["query_id", "neighbor_id", "l2_dist"])
+                step = max(1, PIECE // len(query_ids))
+                for a in range(0, len(x), step):
+                    best = _closer(best, worst, ids[a : a + step], x[a : a + step], query_ids, q, k, exclude_self)
+            if len(best[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(query_ids[best[0]]), pa.array(best[1]), pa.array(best[2])], ["query_id", "neighbor_id", "l2_dist"])
 
         one = plain.mapInArrow(run, "query_id long, neighbor_id long, l2_dist double")
         found = one if found is None else found.unionByName(one)

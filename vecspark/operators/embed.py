@@ -22,19 +22,72 @@ class KmerEmbedder:
     k: int = 3
 
     def __call__(self, sequences: list[str]) -> np.ndarray:
-        out = np.zeros((len(sequences), self.dim), np.float32)
-        for row, seq in zip(out, sequences, strict=True):
-            for i in range(max(0, len(seq) - self.k + 1)):
-                h = zlib.crc32(seq[i : i + self.k].encode())
-                row[h % self.dim] += 1 if h & 0x80000000 else -1
-            length = float(np.sqrt((row * row).sum()))
-            if length:
-                row /= length
-        return out
+        """Each distinct k-mer of the batch is hashed once."""
+        out = np.zeros((len(sequences), self.dim))
+        letters = [np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32) for s in sequences]
+        for row, x in zip(out, letters, strict=True):
+            if len(x) < self.k:
+                continue
+            mers, n = np.unique(np.lib.stride_tricks.sliding_window_view(x, self.k), axis=0, return_counts=True)
+            h = np.array([zlib.crc32(m.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")) for m in mers], np.uint32)
+            np.add.at(row, h % self.dim, np.where(h & np.uint32(0x80000000), n, -n))
+            row /= np.sqrt((row * row).sum()) or 1.0
+        return out.astype(np.float32)
+
+
+def device(name: str = "auto") -> str:
+    """``cpu`` or ``cuda``: what is asked for, or for ``auto`` what there is."""
+    if name not in ("auto", "cpu", "cuda"):
+        raise ValueError("the device must be auto, cpu or cuda")
+    if name == "cpu":
+        return name
+    try:
+        import torch
+
+        there = torch.cuda.is_available()
+    except ImportError:
+        there = False
+    if name == "cuda" and not there:
+        raise ValueError("there is no cuda device")
+    return "cuda" if there else "cpu"
+
+
+class ProteinModel:
+    """Means of the last layer's token vectors of a pretrained protein model, by the ``esm`` package where it is installed.
+
+    The model is loaded where the first batch is embedded, so it isn't sent to the tasks.
+    """
+
+    def __init__(self, name: str = "esm2_t6_8M_UR50D", device: str = "auto"):
+        self.name, self.device, self._loaded = name, device, None
+
+    def __getstate__(self):
+        return {"name": self.name, "device": self.device, "_loaded": None}
+
+    def _load(self):
+        if self._loaded is None:
+            import esm
+
+            model, alphabet = getattr(esm.pretrained, self.name)()
+            self._loaded = model.eval().to(device(self.device)), alphabet, alphabet.get_batch_converter()
+        return self._loaded
+
+    def __call__(self, sequences: list[str]) -> np.ndarray:
+        import torch
+
+        model, alphabet, convert = self._load()
+        _, _, tokens = convert([(str(i), s) for i, s in enumerate(sequences)])
+        with torch.no_grad():
+            found = model(tokens.to(device(self.device)), repr_layers=[model.num_layers], return_contacts=False)
+        special = torch.zeros_like(tokens, dtype=torch.bool)
+        for mark in (alphabet.padding_idx, alphabet.cls_idx, alphabet.eos_idx):
+            special |= tokens == mark
+        vectors = found["representations"][model.num_layers].float().cpu().numpy()
+        return masked_mean(vectors, ~special.cpu().numpy()).astype(np.float32)
 
 
 #: Names of models and what makes them; others can be registered.
-EMBEDDERS: dict[str, Callable[[], Callable[[list[str]], np.ndarray]]] = {"kmer": KmerEmbedder}
+EMBEDDERS: dict[str, Callable[[], Callable[[list[str]], np.ndarray]]] = {"kmer": KmerEmbedder, "esm2_t6_8M_UR50D": ProteinModel}
 
 
 def embedder(name: str) -> Callable[[list[str]], np.ndarray]:

@@ -3,7 +3,8 @@
 An index knows only how to file rows under buckets (``postings``) and which
 buckets a query opens, in which order (``probes``). The join of the two, the
 removal of doubles, the exact distances and the ranking are common. Postings
-have a key of their own, so they can be written partitioned or bucketed by it.
+are written when an index is fitted, so that a search hashes or assigns its
+queries only.
 """
 
 from __future__ import annotations
@@ -12,21 +13,26 @@ import itertools
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecspark.functions.vectors import as_vector, l2, l2_squared, pack_bits, parity_bit, projection, sub_vector
+from vecspark.functions.vectors import as_vector, drawn_bit, l2, l2_squared, pack_bits, projection, sub_vector
 from vecspark.operators import clustering
 from vecspark.operators.clustering import KMeansParams
-from vecspark.operators.dense import exact_knn, nearest_centroids, product_codes
+from vecspark.operators.dense import collect_vectors, exact_knn, nearest_centroids, product_codes, rows_of, squared
+from vecspark.operators.network import Network
 from vecspark.operators.topk import DECIMALS, nearest, top_k
+from vecspark.store import written
 
-#: Queries up to which their side of a join is broadcast.
-BROADCAST_QUERIES = 10_000
+#: Bytes up to which the side of the queries of a join is broadcast.
+BROADCAST_BYTES = 1 << 25
 
 
-def _small(queries: DataFrame) -> DataFrame:
-    return F.broadcast(queries) if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES else queries
+def _small(queries: DataFrame, row_bytes: int) -> DataFrame:
+    """Marked for broadcast if there are counted to be few enough rows of so many bytes; beyond it the join shuffles."""
+    most = BROADCAST_BYTES // row_bytes
+    return F.broadcast(queries) if queries.limit(most + 1).count() <= most else queries
 
 
 def _positive(**values) -> None:
@@ -35,19 +41,19 @@ def _positive(**values) -> None:
             raise ValueError(f"{name} must be positive")
 
 
-def dimension(corpus: DataFrame) -> int:
-    """The number of components of the corpus's vectors; an empty corpus is an error."""
+def dimension(corpus: DataFrame, empty: int | None = None) -> int:
+    """The number of components of the corpus's vectors; an empty corpus is an error, unless a number is given for it."""
     row = corpus.select(F.size("embedding").alias("d")).first()
-    if row is None:
+    if row is None and empty is None:
         raise ValueError("the corpus is empty")
-    return row.d
+    return row.d if row else empty
 
 
 def distances(candidates: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """(query_id, neighbor_id, l2_dist) of candidate pairs (query_id, vec_id)."""
     q = queries.select(F.col("vec_id").alias("query_id"), as_vector("embedding").alias("qv"))
     x = corpus.select("vec_id", as_vector("embedding").alias("xv"))
-    both = candidates.join(x, "vec_id").join(_small(q), "query_id")
+    both = candidates.join(x, "vec_id").join(_small(q, 8 * dimension(queries, 1) + 16), "query_id")
     return both.select("query_id", F.col("vec_id").alias("neighbor_id"), F.round(l2(F.col("qv"), F.col("xv")), DECIMALS).alias("l2_dist"))
 
 
@@ -64,8 +70,8 @@ class Model:
 
     def candidates(self, queries: DataFrame) -> DataFrame:
         """Distinct (query_id, vec_id)."""
-        p = self.probes(queries).select("query_id", "bucket").distinct()
-        return self.postings.join(_small(p), "bucket").select("query_id", "vec_id").distinct()
+        p = written(self.probes(queries).select("query_id", "bucket").distinct(), "probes")
+        return self.postings.join(_small(p, 64), "bucket").select("query_id", "vec_id").distinct()
 
     def search(self, queries: DataFrame, k: int, fallback_exact: bool = False, exclude_self: bool = False) -> DataFrame:
         """query_id, rank, neighbor_id, l2_dist. With fallback_exact, answers of under k rows are replaced by exact ones."""
@@ -77,9 +83,13 @@ class Model:
 
 
 def with_fallback(answers: DataFrame, queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
-    """The answers, with those of under k rows (or none) replaced as a whole by exact ones."""
+    """The answers, with those of under k rows (or none) replaced as a whole by exact ones.
+
+    They are computed once, and read again to see which are short.
+    """
+    answers = written(answers, "answers")
     full = answers.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
-    short = queries.join(full, "vec_id", "left_anti")
+    short = written(queries.select("vec_id", "embedding").join(full, "vec_id", "left_anti"), "short")
     kept = answers.join(full.select(F.col("vec_id").alias("query_id")), "query_id", "left_semi")
     return kept.unionByName(exact_knn(short, corpus, k, exclude_self))
 
@@ -157,7 +167,7 @@ class LshIndex:
 
     def fit(self, corpus: DataFrame) -> LshModel:
         model = LshModel(corpus, None, self.params, *self.draws(dimension(corpus)))
-        model.postings = model.keyed(corpus, True)
+        model.postings = written(model.keyed(corpus, True), "lsh")
         return model
 
 
@@ -190,7 +200,7 @@ class HypercubeModel(Model):
 
     def vertices(self, rows: DataFrame) -> DataFrame:
         v = as_vector("embedding")
-        bits = [parity_bit(projection(v, a, b, self.params.w), j) for j, (a, b) in enumerate(zip(self.directions, self.offsets, strict=True))]
+        bits = [drawn_bit(projection(v, a, b, self.params.w), j, self.params.seed) for j, (a, b) in enumerate(zip(self.directions, self.offsets, strict=True))]
         return rows.select("vec_id", pack_bits(bits).alias("bucket"))
 
     def probes(self, queries):
@@ -200,7 +210,7 @@ class HypercubeModel(Model):
 
     def candidates(self, queries):
         """At most M for each query, in the order of probes, then of ids."""
-        both = self.postings.join(_small(self.probes(queries)), "bucket")
+        both = self.postings.join(_small(written(self.probes(queries), "probes"), 64), "bucket")
         return top_k(both, ["query_id"], ["probe_rank", "vec_id"], self.params.M, "n").select("query_id", "vec_id")
 
 
@@ -217,7 +227,7 @@ class HypercubeIndex:
 
     def fit(self, corpus: DataFrame) -> HypercubeModel:
         model = HypercubeModel(corpus, None, self.params, *self.draws(dimension(corpus)))
-        model.postings = model.vertices(corpus)
+        model.postings = written(model.vertices(corpus), "hypercube")
         return model
 
 
@@ -259,7 +269,7 @@ class IvfFlatIndex:
     def fit(self, corpus: DataFrame, centroids: tuple | None = None) -> IvfFlatModel:
         centroids = centroids or self.centroids(corpus)
         lists = nearest_centroids(corpus, centroids).select(F.col("cluster_id").alias("bucket"), "vec_id")
-        return IvfFlatModel(corpus, lists, centroids, self.params.nprobe)
+        return IvfFlatModel(corpus, written(lists, "lists"), centroids, self.params.nprobe)
 
 
 @dataclass(frozen=True)
@@ -322,7 +332,7 @@ class ProductQuantizer:
         rows = [(m, c, [float(x) for x in v]) for m, book in enumerate(books) for c, v in enumerate(book)]
         words = queries.sparkSession.createDataFrame(rows, "part int, code int, word array<double>")
         parts = queries.select(F.col("vec_id").alias("query_id"), as_vector("embedding").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(len(books) - 1))).alias("part"))
-        both = _small(parts).join(words, "part")
+        both = parts.join(F.broadcast(words), "part")  # of a size that the quantizer fixes
         return both.select("query_id", "part", "code", l2_squared(sub_vector(F.col("v"), F.col("part"), size), F.col("word")).alias("t"))
 
     def tables(self, queries: DataFrame) -> DataFrame:
@@ -349,14 +359,15 @@ class IvfPqModel(IvfFlatModel):
 
     def approximate(self, queries: DataFrame, k: int) -> DataFrame:
         """(query_id, vec_id, adc): the k candidates of each query with the least approximate distance."""
-        opened = self.postings.join(_small(self.probes(queries)), "bucket").select("query_id", "vec_id")
-        both = opened.join(self.codes, "vec_id").join(_small(self.quantizer.tables(queries)), "query_id")
+        opened = self.postings.join(_small(written(self.probes(queries), "probes"), 64), "bucket").select("query_id", "vec_id")
+        tables = _small(written(self.quantizer.tables(queries), "tables"), 8 * self.quantizer._fitted()[:, :, 0].size + 16)
+        both = opened.join(self.codes, "vec_id").join(tables, "query_id")
         rows = both.select("query_id", "vec_id", F.round(adc(F.col("tables"), F.col("codes")), 6).alias("adc"))
         return top_k(rows, ["query_id"], ["adc", "vec_id"], k, "n").drop("n")
 
     def search(self, queries, k, fallback_exact=False, exclude_self=False):
         """The k best by approximate distance, ranked again by exact distance."""
-        near = self.approximate(queries, k).select("query_id", "vec_id")
+        near = written(self.approximate(queries, k).select("query_id", "vec_id"), "near")
         found = distances(near, queries, self.corpus)
         out = nearest(found.where("query_id <> neighbor_id") if exclude_self else found, k)
         return with_fallback(out, queries, self.corpus, k, exclude_self) if fallback_exact else out
@@ -371,7 +382,7 @@ class IvfPqIndex:
     def fit(self, corpus: DataFrame, centroids: tuple | None = None, quantizer: ProductQuantizer | None = None) -> IvfPqModel:
         flat = IvfFlatIndex(self.params.ivf).fit(corpus, centroids)
         quantizer = quantizer or ProductQuantizer(self.params.pq).fit(corpus)
-        return IvfPqModel(corpus, flat.postings, flat.centroids, flat.nprobe, quantizer, quantizer.encode(corpus))
+        return IvfPqModel(corpus, flat.postings, flat.centroids, flat.nprobe, quantizer, written(quantizer.encode(corpus), "codes"))
 
 
 # --- learnt partition ----------------------------------------------------------
@@ -398,36 +409,43 @@ class NeuralLshParams:
 
 @dataclass
 class NeuralLshModel(Model):
-    classifier: object = None
+    network: Network = None
     T: int = 5
 
     def probes(self, queries):
-        """The T bins that the classifier finds likeliest, in the order of their probabilities."""
-        from pyspark.ml.functions import array_to_vector, vector_to_array
+        """The T bins that the network finds likeliest, in the order of their probabilities."""
+        sent, t = queries.sparkSession.sparkContext.broadcast(self.network), self.T
 
-        scored = self.classifier.transform(queries.select("vec_id", array_to_vector(as_vector("embedding")).alias("features")))
-        long = scored.select(F.col("vec_id").alias("query_id"), F.posexplode(vector_to_array("probability")).alias("bucket", "p"))
-        return top_k(long, ["query_id"], [F.desc("p"), "bucket"], self.T, "probe_rank").select("query_id", "bucket", "probe_rank")
+        def run(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    p = sent.value.probabilities(rows_of(batch.column("v")))
+                    order = np.argsort(-p, axis=1, kind="stable")[:, :t]
+                    ids = np.repeat(batch.column("query_id").to_numpy(), order.shape[1])
+                    ranks = np.tile(np.arange(1, order.shape[1] + 1, dtype=np.int32), batch.num_rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(order.ravel().astype(np.int32)), pa.array(ranks)], ["query_id", "bucket", "probe_rank"])
+
+        plain = queries.select(F.col("vec_id").alias("query_id"), as_vector("embedding").alias("v"))
+        return plain.mapInArrow(run, "query_id long, bucket int, probe_rank int")
 
 
 class NeuralLshIndex:
-    """Bins of k-means, which a classifier learns to open for a query."""
+    """Bins of k-means, which a network learns to open for a query, from a sample of at most ``train_size`` rows."""
 
     def __init__(self, params: NeuralLshParams = NeuralLshParams()):
         self.params = params
 
     def fit(self, corpus: DataFrame) -> NeuralLshModel:
-        from pyspark.ml.classification import MultilayerPerceptronClassifier
-        from pyspark.ml.functions import array_to_vector
-
         p, d = self.params, dimension(corpus)
         centroids = clustering.fit(corpus, KMeansParams(p.m, p.max_iter, seed=p.seed, train_size=p.train_size))
-        bins = nearest_centroids(corpus, centroids).select(F.col("cluster_id").alias("bucket"), "vec_id")
-        train = clustering.train_sample(corpus, "vec_id", p.train_size, p.seed)
-        train = train.join(bins, "vec_id").select(array_to_vector(as_vector("embedding")).alias("features"), F.col("bucket").cast("double").alias("label"))
-        bins_found = len(centroids[0])
-        net = MultilayerPerceptronClassifier(layers=[d, *[p.nodes] * p.layers, bins_found], maxIter=p.epochs, blockSize=p.batch_size, seed=p.seed, stepSize=p.lr)
-        return NeuralLshModel(corpus, bins, net.fit(train), min(p.T, bins_found))
+        bins = written(nearest_centroids(corpus, centroids).select(F.col("cluster_id").alias("bucket"), "vec_id"), "bins")
+        sample = clustering.train_sample(corpus, "vec_id", p.train_size, p.seed)
+        # The sample is bounded by train_size, so the network is trained on the driver.
+        _, x = collect_vectors(sample)
+        y = np.argmin(np.round(squared(x, centroids[1]), 10), axis=1)
+        found = len(centroids[0])
+        network = Network([d, *[p.nodes] * p.layers, found], p.seed).fit(x, y, p.epochs, p.batch_size, p.lr, p.seed)
+        return NeuralLshModel(corpus, bins, network, min(p.T, found))
 
 
 INDEXES = {"lsh": LshIndex, "hypercube": HypercubeIndex, "neural": NeuralLshIndex, "ivfflat": IvfFlatIndex, "ivfpq": IvfPqIndex}

@@ -43,7 +43,7 @@ def head(rows: DataFrame, order: str, n: int) -> DataFrame:
 
 
 def train_sample(rows: DataFrame, key: str, n: int | None, seed: int = 1) -> DataFrame:
-    """n rows without replacement (all, if null or fewer), by a hash of the key; the same in every run."""
+    """n rows without replacement (all, if null or fewer): the first ones by a digest of seed and key; the same in every run."""
     if n is None:
         return rows
-    return rows.orderBy(F.pmod(F.col(key) * 7919 + seed * 104_729, F.lit(1_000_003)), key).limit(n)
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), key).limit(n)

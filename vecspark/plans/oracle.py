@@ -12,7 +12,7 @@ from vecspark.plans import queries as q
 
 DIM = 64
 BASE = f"""x AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-q AS (SELECT vec_id AS query_id, label AS qlabel, v AS qv FROM x WHERE vec_id < {q.QUERIES})"""
+q AS (SELECT vec_id AS query_id, label AS qlabel, v AS qv FROM x WHERE vec_id % {q.STEP} = 0)"""
 WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
@@ -41,7 +41,7 @@ def _lsh(params: index.LshParams) -> str:
     for t in range(params.L):
         key = " || ',' || ".join(f"CAST({_hash(a, b, params.w)} AS VARCHAR)" for a, b in zip(directions[t], offsets[t], strict=True))
         tables.append(f"SELECT vec_id, '{t}:' || {key} AS bucket FROM x")
-    return "post AS (" + " UNION ALL ".join(tables) + f"),\nprobe AS (SELECT vec_id AS query_id, bucket FROM post WHERE vec_id < {q.QUERIES})"
+    return "post AS (" + " UNION ALL ".join(tables) + f"),\nprobe AS (SELECT vec_id AS query_id, bucket FROM post WHERE vec_id % {q.STEP} = 0)"
 
 
 JOINED = "SELECT DISTINCT probe.query_id, post.vec_id FROM probe JOIN post ON probe.bucket = post.bucket"
@@ -56,7 +56,7 @@ def _lsh_compat(params: index.LshParams) -> str:
         for h in hashes[1:]:
             value = f"({h} - CASE WHEN {value} < 0 THEN 25 ELSE 0 END)"
         posts.append(f"SELECT vec_id, '{t}:' || CAST((({value}) % {prime} + {prime}) % {prime} AS VARCHAR) AS bucket FROM x")
-        probes.append(f"SELECT vec_id AS query_id, '{t}:' || CAST((({hashes[-1]}) % {prime} + {prime}) % {prime} AS VARCHAR) AS bucket FROM x WHERE vec_id < {q.QUERIES}")
+        probes.append(f"SELECT vec_id AS query_id, '{t}:' || CAST((({hashes[-1]}) % {prime} + {prime}) % {prime} AS VARCHAR) AS bucket FROM x WHERE vec_id % {q.STEP} = 0")
     return "post AS (" + " UNION ALL ".join(posts) + "),\nprobe AS (" + " UNION ALL ".join(probes) + ")"
 
 
@@ -65,10 +65,11 @@ def _cube(params: index.HypercubeParams) -> str:
     directions, offsets = index.HypercubeIndex(params).draws(DIM)
     vertex = "0::BIGINT"
     for j, (a, b) in enumerate(zip(directions, offsets, strict=True)):
-        vertex = f"(({vertex}) * 2 + ((({_hash(a, b, params.w)} * 3 + {j}) % 2) + 2) % 2)"
+        digest = f"md5('{params.seed}:{j}:' || CAST({_hash(a, b, params.w)} AS VARCHAR))"
+        vertex = f"(({vertex}) * 2 + CASE WHEN substr({digest}, 1, 1) >= '8' THEN 1 ELSE 0 END)"
     masks = ", ".join(f"({i}, {m}::BIGINT)" for i, m in enumerate(index.probe_masks(params.kproj, params.probes)))
     return f"""vert AS (SELECT vec_id, CAST({vertex} AS BIGINT) AS bucket FROM x),
-opened AS (SELECT vec_id AS query_id, xor(bucket, mask) AS bucket, CAST(i AS INTEGER) AS probe_rank FROM vert, (VALUES {masks}) m(i, mask) WHERE vec_id < {q.QUERIES}),
+opened AS (SELECT vec_id AS query_id, xor(bucket, mask) AS bucket, CAST(i AS INTEGER) AS probe_rank FROM vert, (VALUES {masks}) m(i, mask) WHERE vec_id % {q.STEP} = 0),
 cube AS (SELECT query_id, vec_id FROM (
   SELECT o.query_id, p.vec_id, row_number() OVER (PARTITION BY o.query_id ORDER BY o.probe_rank, p.vec_id) AS n FROM opened o JOIN vert p ON o.bucket = p.bucket) WHERE n <= {params.M})"""
 
@@ -78,11 +79,12 @@ mean AS (SELECT label AS cluster_id, p, avg(e) AS e, count(*) AS n FROM comp GRO
 cent AS (SELECT cluster_id, list(e ORDER BY p) AS c, max(n) AS n FROM mean GROUP BY cluster_id),
 near AS (SELECT vec_id, cluster_id, row_number() OVER (PARTITION BY vec_id ORDER BY list_distance(v, c), cluster_id) AS probe_rank FROM x, cent),
 lists AS (SELECT vec_id, cluster_id AS bucket FROM near WHERE probe_rank = 1)"""
-FLAT = f"""probes AS (SELECT vec_id AS query_id, cluster_id AS bucket, probe_rank FROM near WHERE vec_id < {q.QUERIES} AND probe_rank <= {q.NPROBE})"""
+FLAT = f"""probes AS (SELECT vec_id AS query_id, cluster_id AS bucket, probe_rank FROM near WHERE vec_id % {q.STEP} = 0 AND probe_rank <= {q.NPROBE})"""
 OPENED = "SELECT DISTINCT p.query_id, l.vec_id FROM probes p JOIN lists l ON p.bucket = l.bucket"
 SIZE = DIM // q.PARTS
 BOOKS = f"""parts AS (SELECT CAST(unnest(range({q.PARTS})) AS INTEGER) AS part),
-books AS (SELECT part, CAST(vec_id AS INTEGER) AS code, v[part * {SIZE} + 1 : (part + 1) * {SIZE}] AS word FROM x, parts WHERE vec_id < {q.WORDS}),
+drawn AS (SELECT vec_id, v FROM x ORDER BY md5('{q.SEED}:' || CAST(vec_id AS VARCHAR)), vec_id LIMIT {q.WORDS}),
+books AS (SELECT part, CAST(row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS INTEGER) AS code, v[part * {SIZE} + 1 : (part + 1) * {SIZE}] AS word FROM drawn, parts),
 codes AS (SELECT vec_id, part, code FROM (
   SELECT x.vec_id, b.part, b.code, row_number() OVER (PARTITION BY x.vec_id, b.part ORDER BY round(list_distance(v[b.part * {SIZE} + 1 : (b.part + 1) * {SIZE}], word), 9), b.code) AS n FROM x, books b) WHERE n = 1),
 dt AS (SELECT query_id, b.part, b.code, pow(list_distance(qv[b.part * {SIZE} + 1 : (b.part + 1) * {SIZE}], word), 2) AS t FROM q, books b)"""
@@ -188,7 +190,8 @@ def oracle_sql() -> dict[str, str]:
         "report_roundtrip": "WITH " + _annotated() + f""" SELECT CAST(query_id AS VARCHAR) AS query_id, method, rank, CAST(neighbor_id AS VARCHAR) AS neighbor_id,
   CAST(round(CAST(l2_dist AS DECIMAL(18, 4)), 2) AS DOUBLE) AS l2_dist, CAST(round_even(CAST(coalesce(blast_identity_pct, 0) AS DECIMAL(18, 6)), 0) AS DOUBLE) AS blast_identity_pct, in_blast_top_n
   FROM near_by WHERE rank <= {q.K}""",
-        "report_summaries": "WITH " + _figures() + " SELECT CAST(query_id AS VARCHAR) AS query_id, method, round(recall_at_n, 2) AS recall_at_n FROM figures",
+        "report_summaries": "WITH " + _figures() + """ SELECT CAST(query_id AS VARCHAR) AS query_id, method, round(recall_at_n, 2) AS recall_at_n FROM figures
+UNION ALL SELECT CAST(query_id AS VARCHAR), 'BLAST (Ref)', 1.0 FROM q""",
         "sequence_normalise": f"SELECT doc_id, upper(replace(replace(trim(text, {WHITE}), ' ', ''), 'ß', 'ss')) AS sequence FROM documents",
         "sequence_truncate": f"""SELECT doc_id, CAST(length(s) AS INTEGER) AS n, md5(s) AS digest FROM (
   SELECT doc_id, substr(upper(replace(replace(trim(text, {WHITE}), ' ', ''), 'ß', 'ss')), 1, {MAX_RESIDUES}) AS s FROM documents)""",
@@ -196,15 +199,22 @@ def oracle_sql() -> dict[str, str]:
         "fasta_roundtrip": f"SELECT doc_id, upper({letters}) AS sequence FROM documents",
         "fasta_lines": f"SELECT doc_id, CAST(1 + ceil(length({letters}) / 60.0) AS INTEGER) AS lines, true AS headed FROM documents",
         "subset_head": "SELECT vec_id FROM embeddings ORDER BY vec_id LIMIT 25",
-        "train_sample": "SELECT vec_id FROM embeddings ORDER BY (vec_id * 7919 + 104729) % 1000003, vec_id LIMIT 100",
+        "train_sample": "SELECT vec_id FROM embeddings ORDER BY md5('1:' || CAST(vec_id AS VARCHAR)), vec_id LIMIT 100",
         "grid_configurations": "SELECT k, L, w FROM (VALUES (2), (4), (6)) a(k), (VALUES (5), (10)) b(L), (VALUES (CAST(2 AS DOUBLE)), (4.5)) c(w)",
-        "kmer_seeds": f"""WITH s AS (SELECT doc_id, upper(regexp_replace(substr(text, 1, 400), '[^A-Za-z]+', '', 'g')) AS s FROM documents),
+        "kmer_seeds": f"""WITH s AS (SELECT doc_id, upper(regexp_replace(text, '[^A-Za-z]+', '', 'g')) AS s FROM documents),
 k AS (SELECT doc_id, unnest({kmers}) AS kmer FROM s WHERE len(s) >= 6)
-SELECT a.doc_id AS qseqid, b.doc_id AS sseqid, count(*) AS shared FROM k a JOIN k b ON a.kmer = b.kmer WHERE a.doc_id < {q.QUERIES} GROUP BY ALL HAVING count(*) >= 25""",
-        "embed_sequences": None,
+SELECT a.doc_id AS qseqid, b.doc_id AS sseqid, count(*) AS shared FROM k a JOIN k b ON a.kmer = b.kmer WHERE a.doc_id % {q.STEP} = 0 GROUP BY ALL HAVING count(*) >= 25""",
+        "embed_sequences": f"""SELECT doc_id, 64 AS n, CASE WHEN length(s) >= 3 THEN 1.0 ELSE 0.0 END AS norm FROM (
+  SELECT doc_id, substr(upper(replace(replace(trim(text, {WHITE}), ' ', ''), 'ß', 'ss')), 1, {MAX_RESIDUES}) AS s FROM documents)""",
         "masked_mean": _with(BASE) + """SELECT label, CAST(p - 1 AS INTEGER) AS p, round(sum(e * m) / greatest(sum(m), 1), 8) AS x FROM (
   SELECT label, CASE WHEN vec_id % 2 = 0 THEN 1.0 ELSE 0.0 END AS m, unnest(v) AS e, generate_subscripts(v, 1) AS p FROM x) GROUP BY label, p""",
         "search_pipeline": None,
+        "ivf_pq_trained_checked": f"SELECT vec_id AS query_id, true AS whole, true AS once, true AS ranked, true AS exact FROM embeddings WHERE vec_id % {q.STEP} = 0",
+        "neural_search_checked": f"SELECT vec_id AS query_id, true AS whole, true AS once, true AS ranked, true AS exact FROM embeddings WHERE vec_id % {q.STEP} = 0",
+        "kmeans_fit_checked": f"SELECT count(*) AS n, {q.LLOYD_K} AS clusters, true AS closer, true AS at_rest FROM embeddings",
+        "grid_all": "SELECT * FROM (VALUES ('lsh', 2, true), ('hypercube', 1, true), ('ivfflat', 2, true), ('ivfpq', 1, true), ('neural', 1, true)) t(method, configurations, possible)",
+        "search_all": f"""SELECT method, (SELECT count(*) FROM embeddings WHERE vec_id % {q.STEP} = 0) AS n_queries, whole, true AS possible
+FROM (VALUES ('Euclidean LSH', true), ('Hypercube', true), ('Neural LSH', true), ('IVF-Flat', true), ('IVF-PQ', true), ('BLAST (Ref)', CAST(NULL AS BOOLEAN))) t(method, whole)""",
     }
     full = _with(BASE, _lsh(q.LSH), _ranked(JOINED, q.N, "_a"), _ranked(EVERYTHING, q.N, "_e"), HITS, TRUTH, f"enough AS (SELECT query_id FROM r_a GROUP BY query_id HAVING count(*) >= {q.N})",
                  "answers AS (SELECT * FROM r_a WHERE query_id IN (SELECT query_id FROM enough) UNION ALL SELECT * FROM r_e WHERE query_id NOT IN (SELECT query_id FROM enough))")

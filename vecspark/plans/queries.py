@@ -1,7 +1,7 @@
 """The registered queries on the driver's tables.
 
-``embeddings`` is the vector store: queries are its first ten vectors, the
-corpus all of them. Same-label neighbours stand in for alignment hits:
+``embeddings`` is the vector store: queries are the vectors whose vec_id is
+divisible by ``STEP``, the corpus all of them. Same-label neighbours stand in for alignment hits:
 bitscore falls with the distance, pident is the share of components of equal
 sign. ``documents`` holds the sequences.
 """
@@ -19,14 +19,15 @@ from vecspark.functions.vectors import as_vector, l2, l2_squared, norm, sub_vect
 from vecspark.operators import alignment, clustering, dense, embed, index, metrics, topk
 from vecspark.plans import search
 from vecspark.sources import fasta, report
+from vecspark.store import written
 
-QUERIES, K, N = 10, 10, 20
+STEP, K, N = 100, 10, 20
 LSH = index.LshParams(k=3, L=4, w=1.0, seed=1)
 NARROW = index.LshParams(k=4, L=2, w=0.6, seed=2)
 COMPAT = index.LshParams(k=3, L=2, w=1.0, seed=3, key_mode="last_hash")
 CUBE = index.HypercubeParams(kproj=6, w=1.0, M=60, probes=8, seed=1)
 METHODS = ("exact", "hypercube", "ivfflat", "lsh")
-NPROBE, PARTS, WORDS, LLOYD_K = 3, 8, 16, 8
+NPROBE, PARTS, WORDS, LLOYD_K, SEED = 3, 8, 16, 8, 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,8 +38,8 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
 
 
-def asked(rows: DataFrame) -> DataFrame:
-    return rows.where(F.col("vec_id") < QUERIES)
+def asked(rows: DataFrame, key: str = "vec_id") -> DataFrame:
+    return rows.where(F.pmod(key, F.lit(STEP)) == 0)
 
 
 def labelled_centroids(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -46,9 +47,9 @@ def labelled_centroids(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return clustering.centroid_table(clustering.means(rows, "label"))
 
 
-def first_books(rows: DataFrame) -> np.ndarray:
-    """Codebooks from the parts of the first vectors."""
-    _, x = dense.collect_vectors(rows.where(F.col("vec_id") < WORDS))
+def sampled_books(rows: DataFrame) -> np.ndarray:
+    """Codebooks from the parts of WORDS vectors, drawn from all rows by a digest of vec_id; in the order of ids."""
+    _, x = dense.collect_vectors(topk.train_sample(rows, "vec_id", WORDS, SEED))
     return x.reshape(len(x), PARTS, -1).transpose(1, 0, 2)
 
 
@@ -60,7 +61,7 @@ def flat(rows: DataFrame, nprobe: int = NPROBE) -> index.IvfFlatModel:
 def quantized(rows: DataFrame) -> index.IvfPqModel:
     centroids = labelled_centroids(rows)
     params = index.IvfPqParams(index.IvfFlatParams(len(centroids[0]), NPROBE), index.PqParams(PARTS, 4))
-    return index.IvfPqIndex(params).fit(rows, centroids, index.ProductQuantizer(params.pq).with_books(first_books(rows)))
+    return index.IvfPqIndex(params).fit(rows, centroids, index.ProductQuantizer(params.pq).with_books(sampled_books(rows)))
 
 
 def hits(rows: DataFrame) -> DataFrame:
@@ -68,8 +69,9 @@ def hits(rows: DataFrame) -> DataFrame:
     q = asked(rows).select(F.col("vec_id").alias("qseqid"), as_vector("embedding").alias("qv"), "label")
     x = rows.select(F.col("vec_id").alias("sseqid"), as_vector("embedding").alias("xv"), "label")
     same = F.aggregate(F.zip_with("qv", "xv", lambda a, b: F.when((a >= 0) == (b >= 0), 1).otherwise(0)), F.lit(0), lambda s, v: s + v)
-    both = F.broadcast(q).join(x, "label").withColumn("d", F.round(l2(F.col("qv"), F.col("xv")), 4))
-    return both.select("qseqid", "sseqid", (same * 100.0 / F.size("qv")).alias("pident"), (100 - 10 * F.col("d")).alias("bitscore"), (F.col("d") * F.col("d")).alias("evalue"), F.col("sseqid").alias("line_no"))
+    both = q.join(x, "label").withColumn("d", F.round(l2(F.col("qv"), F.col("xv")), 4))
+    both = both.select("qseqid", "sseqid", (same * 100.0 / F.size("qv")).alias("pident"), (100 - 10 * F.col("d")).alias("bitscore"), (F.col("d") * F.col("d")).alias("evalue"), F.col("sseqid").alias("line_no"))
+    return written(both, "hits")
 
 
 def methods(rows: DataFrame) -> DataFrame:
@@ -82,12 +84,13 @@ def methods(rows: DataFrame) -> DataFrame:
         "lsh": index.LshIndex(LSH).fit(rows).search(q, N),
     }
     parts = [a.select(F.lit(i).alias("position"), F.lit(m).alias("method"), "*") for i, (m, a) in enumerate(found.items())]
-    return reduce(DataFrame.unionByName, parts)
+    return written(reduce(DataFrame.unionByName, parts), "methods")
 
 
-def figures(rows: DataFrame) -> DataFrame:
+def figures(rows: DataFrame, answers: DataFrame | None = None, found: DataFrame | None = None) -> DataFrame:
     """Recall by query and method, with a time that is made up from their numbers."""
-    recall = metrics.recall_at_n(methods(rows), search.truth(hits(rows), N), asked(rows), N, list(METHODS))
+    answers, found = methods(rows) if answers is None else answers, hits(rows) if found is None else found
+    recall = metrics.recall_at_n(answers, search.truth(found, N), asked(rows), N, list(METHODS))
     position = F.array_position(F.lit(list(METHODS)), F.col("method")).cast("int") - 1
     seconds = (F.col("query_id") + 1) * (position + 1) * F.lit(0.001)
     return recall.select("query_id", position.alias("position"), "method", seconds.alias("time_per_query_s"), metrics.qps(seconds).alias("qps"), "recall_at_n")
@@ -205,13 +208,13 @@ def hypercube_search(spark, d):
 
 def pq_encode(spark, d):
     rows = corpus(spark, d)
-    codes = index.ProductQuantizer(index.PqParams(PARTS, 4)).with_books(first_books(rows)).encode(rows)
+    codes = index.ProductQuantizer(index.PqParams(PARTS, 4)).with_books(sampled_books(rows)).encode(rows)
     return codes.select("vec_id", F.posexplode("codes").alias("part", "code"))
 
 
 def pq_distance_table(spark, d):
     rows = corpus(spark, d)
-    t = index.ProductQuantizer(index.PqParams(PARTS, 4)).with_books(first_books(rows)).distance_table(asked(rows))
+    t = index.ProductQuantizer(index.PqParams(PARTS, 4)).with_books(sampled_books(rows)).distance_table(asked(rows))
     return t.select("query_id", "part", "code", F.round("t", 6).alias("t"))
 
 
@@ -292,6 +295,15 @@ def _neighbors(spark, d):
     return search.annotated(methods(rows), search.truth(h, N), h)
 
 
+def _report(spark, d):
+    """What is read again of a report, with the reference's own line."""
+    rows = corpus(spark, d)
+    answers, h = methods(rows), hits(rows)
+    near = search.annotated(answers, search.truth(h, N), h).where(F.col("rank") <= K).withColumn("neighbor_id", F.col("neighbor_id").cast("string"))
+    summaries = search.with_reference(figures(rows, answers, h), len(METHODS), 0.25)
+    return report.parse_report(report.report(summaries, near, N, K))
+
+
 def annotated_neighbors(spark, d):
     return _neighbors(spark, d).select("method", "query_id", "rank", "neighbor_id", "l2_dist", "blast_identity_pct", "in_blast_top_n")
 
@@ -307,17 +319,11 @@ def remote_outside_top(spark, d):
 
 
 def report_roundtrip(spark, d):
-    rows = corpus(spark, d)
-    near = _neighbors(spark, d).where(F.col("rank") <= K).withColumn("neighbor_id", F.col("neighbor_id").cast("string"))
-    _, n = report.parse_report(report.report(figures(rows), near, N, K))
-    return n.select("query_id", "method", "rank", "neighbor_id", "l2_dist", "blast_identity_pct", "in_blast_top_n")
+    return _report(spark, d)[1].select("query_id", "method", "rank", "neighbor_id", "l2_dist", "blast_identity_pct", "in_blast_top_n")
 
 
 def report_summaries(spark, d):
-    rows = corpus(spark, d)
-    near = _neighbors(spark, d).where(F.col("rank") <= K).withColumn("neighbor_id", F.col("neighbor_id").cast("string"))
-    s, _ = report.parse_report(report.report(figures(rows), near, N, K))
-    return s.select("query_id", "method", "recall_at_n")
+    return _report(spark, d)[0].select("query_id", "method", "recall_at_n")
 
 
 def sequence_normalise(spark, d):
@@ -360,18 +366,17 @@ def grid_configurations(spark, d):
 
 
 def kmer_seeds(spark, d):
-    """Pairs of a few documents and all others that share many k-mers."""
-    seq = F.regexp_replace(F.substring("sequence", 1, 400), r"[^A-Za-z]+", "")
+    """Pairs of every hundredth document and all documents that share many k-mers, of whole texts."""
+    seq = F.regexp_replace("sequence", r"[^A-Za-z]+", "")
     s = sequences(spark, d).select("id", seq.alias("sequence"), "doc_id")
-    q = s.where(F.col("doc_id") < QUERIES)
-    return alignment.seed_candidates(q, s, 6, 25).select(F.col("qseqid").cast("long").alias("qseqid"), F.col("sseqid").cast("long").alias("sseqid"), "shared")
+    return alignment.seed_candidates(asked(s, "doc_id"), s, 6, 25).select(F.col("qseqid").cast("long").alias("qseqid"), F.col("sseqid").cast("long").alias("sseqid"), "shared")
 
 
 def alignment_hits(spark, d):
     """Alignments of every hundredth document with all that share k-mers with it."""
     seq = F.regexp_replace("sequence", r"[^A-Za-z]+", "")
     s = sequences(spark, d).select("id", seq.alias("sequence"), "doc_id")
-    q = s.where(F.col("doc_id") % 100 == 0)
+    q = asked(s, "doc_id")
     pairs = alignment.seed_candidates(q, s, 5, 12)
     return alignment.align(pairs, q, s).drop("line_no")
 
@@ -401,12 +406,71 @@ def search_pipeline(spark, d):
     return out["neighbors"].select("method", "query_id", "rank", "neighbor_id", "l2_dist", "blast_identity_pct", "in_blast_top_n")
 
 
+def _checked(answers, queries, rows, k):
+    """For each query: its answers, whether ranks and distances are in order, and whether distances are those of the vectors."""
+    x = rows.select(F.col("vec_id").alias("neighbor_id"), as_vector("embedding").alias("xv"))
+    q = queries.select(F.col("vec_id").alias("query_id"), as_vector("embedding").alias("qv"))
+    both = answers.join(x, "neighbor_id").join(q, "query_id").withColumn("right", F.abs(F.col("l2_dist") - l2(F.col("qv"), F.col("xv"))) <= 1e-4)
+    each = F.array_sort(F.collect_list(F.struct("rank", "l2_dist")))
+    by = both.groupBy("query_id").agg(F.count("*").alias("n"), F.count_distinct("neighbor_id").alias("ids"), F.every("right").alias("right"), each.alias("a"))
+    ranked = (F.transform("a", lambda s: s["rank"]) == F.sequence(F.lit(1), F.col("n").cast("int"))) & (F.transform("a", lambda s: s["l2_dist"]) == F.array_sort(F.transform("a", lambda s: s["l2_dist"])))
+    return by.select("query_id", (F.col("n") == k).alias("whole"), (F.col("ids") == F.col("n")).alias("once"), ranked.alias("ranked"), F.col("right").alias("exact"))
+
+
+def ivf_pq_trained_checked(spark, d):
+    rows = corpus(spark, d)
+    return _checked(ivf_pq_trained(spark, d), asked(rows), rows, K)
+
+
+def neural_search_checked(spark, d):
+    rows = corpus(spark, d)
+    return _checked(neural_search(spark, d), asked(rows), rows, K)
+
+
+def kmeans_fit_checked(spark, d):
+    """Rows, clusters, and whether the fit beats the one mean of all vectors and is at rest."""
+    rows = corpus(spark, d)
+    names, c = clustering.fit(rows, clustering.KMeansParams(LLOYD_K, 100, tol=0.0))
+    near = dense.nearest_centroids(rows, (names, c)).select("vec_id", "cluster_id")
+    moved = clustering.centroid_table(clustering.means(rows.join(near, "vec_id"), "cluster_id"))
+    still = bool(len(moved[0]) == len(c) and np.allclose(moved[1], c, atol=1e-6))
+    mine = F.lit([[float(x) for x in v] for v in c])
+    spread = F.sum(l2_squared(F.col("e"), F.element_at(mine, F.col("cluster_id") + 1)))
+    mean = clustering.centroid_table(clustering.means(rows.withColumn("all", F.lit(0)), "all"))[1][0]
+    whole = F.sum(l2_squared(F.col("e"), F.lit([float(x) for x in mean])))
+    by = rows.select("vec_id", as_vector("embedding").alias("e")).join(near, "vec_id")
+    return by.agg(F.count("*").alias("n"), F.count_distinct("cluster_id").alias("clusters"), (spread < whole).alias("closer"), F.lit(still).alias("at_rest"))
+
+
+def _sweep(rows):
+    grids = {"lsh": {"k": [2, 3], "w": [1.0]}, "hypercube": {"kproj": [4], "M": [50]}, "ivfflat": {"kclusters": [8], "nprobe": [2, 8]}, "ivfpq": {"kclusters": [8], "M": [8], "nbits": [4]}, "neural": {"m": [8], "T": [2]}}
+    h = hits(rows)
+    return reduce(DataFrame.unionByName, [search.grid_search(rows, asked(rows), h, m, g, N) for m, g in grids.items()])
+
+
+def grid_all(spark, d):
+    """A sweep of every method: how many configurations, and whether their figures are possible."""
+    possible = (F.col("avg_recall").between(0, 1)) & (F.col("qps") > 0) & (F.col("avg_time_per_query_s") > 0) & (F.col("build_time_s") > 0)
+    return _sweep(corpus(spark, d)).groupBy("method").agg(F.count("*").alias("configurations"), F.every(possible).alias("possible"))
+
+
+def search_all(spark, d):
+    """Every method and the reference: queries, whether all have N answers, and whether recall is possible."""
+    rows = corpus(spark, d)
+    settings = {"lsh": {"k": 3, "L": 4, "w": 1.0}, "hypercube": {"kproj": 6, "w": 1.0, "M": 60, "probes": 8}, "ivfflat": {"kclusters": 8, "nprobe": 3}, "ivfpq": {"kclusters": 8, "nprobe": 3, "M": 8, "nbits": 4}, "neural": {"m": 8, "T": 3, "layers": 1, "nodes": 32}}
+    out = search.search(rows, asked(rows), hits(rows), "all", N, K, settings=settings)
+    answers = out["neighbors"].groupBy("method", "query_id").count().groupBy("method").agg(F.every(F.col("count") == K).alias("whole"))
+    by = out["by_method"].join(answers, "method", "left")
+    return by.select("method", "n_queries", "whole", F.col("mean_recall_at_n").between(0, 1).alias("possible"))
+
+
 NAMES = (
     "exact_knn exact_knn_other exact_knn_fallback vector_norms label_centroids l2_to_centroids ivf_assign ivf_lists_histogram ivf_probes ivf_flat_search lloyd_step "
     "kmeans_lloyd kmeans_fit lsh_buckets lsh_bucket_sizes lsh_search lsh_key_compat hypercube_vertices hypercube_probes hypercube_search pq_encode pq_distance_table "
     "pq_adc ivf_pq_search ivf_pq_trained neural_search sub_vectors hit_ranking best_hit_per_subject evalue_filter printed_union restricted_hits recall_at_n method_summary "
     "grid_figures tradeoff_series annotated_neighbors remote_candidates remote_outside_top report_roundtrip report_summaries sequence_normalise sequence_truncate "
-    "float_extract fasta_roundtrip fasta_lines subset_head train_sample grid_configurations kmer_seeds alignment_hits embed_sequences masked_mean grid_search search_pipeline"
+    "float_extract fasta_roundtrip fasta_lines subset_head train_sample grid_configurations kmer_seeds alignment_hits embed_sequences masked_mean grid_search search_pipeline "
+    "ivf_pq_trained_checked neural_search_checked kmeans_fit_checked grid_all search_all"
 ).split()
 
 

@@ -31,26 +31,38 @@ def records(text: Column) -> Column:
     return F.transform(blocks, record)
 
 
-def read_fasta(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """(id, sequence) of FASTA files.
+def read_fasta(spark: SparkSession, path: str, strict: bool = False, ordered: bool = False) -> DataFrame:
+    """(id, sequence) of FASTA files, with ``ordered`` also pos: numbers in the order of files and records, with gaps.
 
     Files are cut at line starts with >, so one large file is read by many
     tasks. ``strict`` reads each file as a whole, which also finds headers
     behind white space.
     """
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    # The number within a partition is taken for every row, before any row is looked at.
+    at = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("at")
     if strict:
-        whole = spark.read.text(path, wholetext=True)
+        whole = spark.read.text(path, wholetext=True).select("value", *place, at)
     else:
         # A cut-off record has lost its >, but for the first one of a file, which may follow other text.
-        piece = spark.read.option("lineSep", "\n>").text(path)
-        # The number within a partition is taken for every row, before any row is looked at.
-        at = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-        piece = piece.select("value", at.alias("at"), (F.col("_metadata.file_block_start") == 0).alias("start"))
+        piece = spark.read.option("lineSep", "\n>").text(path).select("value", *place, at)
         first = F.regexp_extract(F.concat(F.lit("\n"), "value"), r"(?s)\n(>.*)", 1)
         has_mark = F.startswith("value", F.lit(">"))
-        head = F.col("start") & (F.col("at") == 0)
-        whole = piece.select(F.when(has_mark, F.col("value")).when(head, first).otherwise(F.concat(F.lit(">"), "value")).alias("value"))
-    return whole.select(F.explode(records(F.col("value"))).alias("r")).select("r.id", "r.sequence")
+        head = (F.col("block") == 0) & (F.col("at") == 0)
+        whole = piece.select(F.when(has_mark, F.col("value")).when(head, first).otherwise(F.concat(F.lit(">"), "value")).alias("value"), "file", "block", "at")
+    found = whole.select("file", "block", "at", F.posexplode(records(F.col("value"))).alias("n", "r"))
+    if not ordered:
+        return found.select("r.id", "r.sequence")
+    return number(found.select("r.id", "r.sequence", "file", "block", "at", "n"), ["file", "block", "at", "n"])
+
+
+def number(rows: DataFrame, order: list[str]) -> DataFrame:
+    """The rows with pos, a number that grows in the order of columns and takes their place.
+
+    Rows are sorted over ranges and numbered within each, so no task holds all.
+    """
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return dealt.withColumn("pos", F.monotonically_increasing_id()).drop(*order)
 
 
 def count_records(spark: SparkSession, path: str) -> int:
@@ -74,13 +86,11 @@ def subset(spark: SparkSession, source: str, target: str, n: int) -> int:
     """Writes the first n records of a FASTA file, in file order; n below 1 or no records are errors."""
     if n <= 0:
         raise ValueError("n must be positive")
-    rows = spark.read.text(source, wholetext=True).select(F.posexplode(records(F.col("value"))).alias("pos", "r"))
-    first = rows.select("pos", "r.id", "r.sequence").orderBy("pos").limit(n)
+    first = read_fasta(spark, source, ordered=True).orderBy("pos").limit(n)
     count = first.count()
     if not count:
         raise ValueError(f"{source} has no records")
-    seq = fasta_text(first).select("value")
-    seq.coalesce(1).write.mode("overwrite").text(target)
+    fasta_text(first).select("value").coalesce(1).write.mode("overwrite").text(target)
     return count
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,13 +46,13 @@ def read_grid(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("method", F.col("qps").cast("double").alias("qps"), F.col("avg_recall").cast("double").alias("recall"))
 
 
-def read_grids(spark: SparkSession, paths: list[str], exists=None) -> DataFrame | None:
-    """The rows of all grid files that exist, or None."""
-    import os
-
-    found = [p for p in paths if (exists or os.path.exists)(p)]
+def read_grids(spark: SparkSession, paths: list[str], exists=os.path.exists) -> DataFrame | None:
+    """The rows of all grid files that exist and hold rows, or None; the others are warned of and passed over."""
     out = None
-    for p in found:
-        own = read_grid(spark, p)
+    for p in paths:
+        own = read_grid(spark, p) if exists(p) else None
+        if own is None or own.isEmpty():
+            warnings.warn(f"{p} {'does not exist' if own is None else 'has no rows'}", stacklevel=2)
+            continue
         out = own if out is None else out.unionByName(own, allowMissingColumns=True)
     return out

@@ -47,6 +47,11 @@ def read_numpy(spark: SparkSession, path: str, ids_path: str | None = None) -> D
     return from_numpy(spark, x, ids)
 
 
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """(row_idx, id, embedding) of a vector table or a numpy file."""
+    return spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else read_numpy(spark, path)
+
+
 def from_numpy(spark: SparkSession, x: np.ndarray, ids: list[str]) -> DataFrame:
     x = np.asarray(x, np.float32)
     if x.ndim != 2:
