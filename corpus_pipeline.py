@@ -11,6 +11,16 @@ columns of ``documents``.
    anywhere go; documents that lose all their words go.
 4. mixing: sources are brought to their target weights.
 5. encoding: byte-pair ids of each text, decoded again.
+
+Defined cases, in every stage: an empty table gives an empty table with the same
+columns. A null text counts as empty: it is scored like one without tokens, is
+nobody's copy, has no words to lose and goes in the mix, which takes nothing of
+it. A null doc_id is judged by its text where that is enough (toxicity, passages,
+the mix), and never a near duplicate. Of repeated rows of one doc_id and text one
+stays after near_dedup; before and after it each row is handled by itself. Ties
+go to the least doc_id. A text of any length is handled whole. Columns besides
+doc_id, text, source and n_chars pass through unread, whatever their names, but
+for the last stage.
 """
 
 from __future__ import annotations
