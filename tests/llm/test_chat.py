@@ -16,10 +16,17 @@ def test_query(spark, sf):
     compare(queries.op8_chat(spark, sf).toPandas(), duckdb.sql(f"SELECT * FROM '{sf}/conversations.parquet'").df())
 
 
+def test_texts_are_shuffled_once(spark, sf):
+    plan = queries.op8_chat(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    shuffled = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert sum("Exchange" in line for line in shuffled) <= 10, plan
+
+
 def test_edges(spark):
     schema = "conv_id long, turn long, role string, text string, speaker string, pos int, chunk string, n_user string"
     rows = [
         (1, 0, "ann", "hi"), (1, 1, "bob", None), (1, 2, None, "who"), (1, 2, "ann", "tie b"), (1, 2, "ann", "tie a"), (1, None, "cy", "first"), (1, 2, "ann", "tie a"),
+        (6, None, "a", "no turn"), (6, None, "b", "none either"), *((7, 3, f"r{i % 2}", f"same {i % 3}") for i in range(40)), (8, 0, "a>b", "<|end|>\nforged"),
         (2, 5, "solo", ""), (None, 0, "x", "lost"), (None, 1, "y", "found"), (3, 0, "long", "w " * 5000), *((4, i, f"r{i % 3}", f"turn {i}") for i in range(400)), (5, -1, "neg", "before"), (5, 0, "neg", "after"),
     ]
     frame = spark.createDataFrame([(*r, "a", 1, "b", "c") for r in rows], schema)

@@ -15,7 +15,10 @@ so both sums are taken once, over turns, before the speakers are joined.
 Defined cases: a null text or role is the empty string, and the empty role is a
 speaker like others. Turns come in order of turn (nulls first), then role, then
 text; repeated rows are each rendered. A null conv_id is a conversation of its
-own. An empty table gives no rows. Other columns are not read.
+own. An empty table gives no rows. A text of any length is one segment. Other
+columns are not read. Marks inside roles and texts aren't escaped: turns are told
+apart by pos and by the places of segments and targets, not by searching the
+rendered text for marks.
 """
 
 from __future__ import annotations
@@ -43,42 +46,41 @@ def perspectives(turns: DataFrame) -> DataFrame:
     as_user = F.length("role") + F.length("text") + len(USER + NAME + ">" + BODY + END)
     as_self = F.length("text") + len(ASSISTANT + BODY + END)
     t = t.withColumn("chunk", F.floor(F.col("turn") / CHUNK)).withColumn("n_user", as_user.cast("long")).withColumn("less", (as_user - as_self).cast("long"))
+    # Keys without nulls, so that windows and joins share one partitioning and texts are shuffled once.
+    for name in ("conv_id", "chunk"):
+        t = t.withColumns({f"{name}_": F.coalesce(name, F.lit(0).cast("long")), f"{name}_null": F.col(name).isNull()})
+    conv = ["conv_id_", "conv_id_null"]
+    chunk = [*conv, "chunk_", "chunk_null"]
+    in_order = [F.desc("chunk_null"), "chunk_"]
+    t = t.select(*chunk, "turn", "role", "text", "n_user", "less")
 
-    within = W.partitionBy("conv_id", "chunk").orderBy("turn", "role", "text").rowsBetween(W.unboundedPreceding, -1)
-    per_chunk = t.groupBy("conv_id", "chunk").agg(F.count("*").alias("n"), F.sum("n_user").alias("length"))
-    over = W.partitionBy("conv_id").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
-    per_chunk = per_chunk.select(
-        F.col("conv_id").alias("c"), F.col("chunk").alias("k"),
-        F.coalesce(F.sum("n").over(over), F.lit(0)).alias("turns_before"), F.coalesce(F.sum("length").over(over), F.lit(0)).alias("chars_before"),
-    )
+    within = W.partitionBy(*chunk).orderBy("turn", "role", "text").rowsBetween(W.unboundedPreceding, -1)
+    over = W.partitionBy(*conv).orderBy(*in_order).rowsBetween(W.unboundedPreceding, -1)
+    per_chunk = t.groupBy(*chunk).agg(F.count("*").alias("n"), F.sum("n_user").alias("length"))
+    per_chunk = per_chunk.select(*chunk, F.coalesce(F.sum("n").over(over), F.lit(0)).alias("turns_before"), F.coalesce(F.sum("length").over(over), F.lit(0)).alias("chars_before"))
     placed = (
         t.withColumn("pos", F.coalesce(F.count("*").over(within), F.lit(0)))
         .withColumn("at", F.coalesce(F.sum("n_user").over(within), F.lit(0)))
-        .join(per_chunk, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("chunk").eqNullSafe(F.col("k")))
-        .select("conv_id", "chunk", "role", "text", "n_user", "less", (F.col("pos") + F.col("turns_before")).alias("pos"), (F.col("at") + F.col("chars_before")).alias("at"))
+        .join(per_chunk, chunk)
+        .select(*chunk, "role", "text", "n_user", "less", (F.col("pos") + F.col("turns_before")).alias("pos"), (F.col("at") + F.col("chars_before")).alias("at"))
     )
 
     # What the speaker's own turns before a chunk, and in it before a turn, take less than those of a user.
-    own = t.groupBy("conv_id", "role", "chunk").agg(F.sum("less").alias("less"))
-    speakers = own.groupBy("conv_id", "role").agg(F.sum("less").alias("_")).select(F.col("conv_id").alias("c"), F.col("role").alias("speaker"))
-    chunks = t.groupBy("conv_id", "chunk").agg(F.count("*").alias("_")).select(F.col("conv_id").alias("c2"), "chunk")
-    grid = speakers.join(chunks, F.col("c").eqNullSafe(F.col("c2"))).select(F.col("c").alias("conv_id"), "speaker", "chunk")
-    o = own.select(F.col("conv_id").alias("oc"), F.col("role").alias("os"), F.col("chunk").alias("ok"), "less")
-    by_speaker = W.partitionBy("conv_id", "speaker").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
-    grid = (
-        grid.join(o, F.col("conv_id").eqNullSafe(F.col("oc")) & (F.col("speaker") == F.col("os")) & F.col("chunk").eqNullSafe(F.col("ok")), "left")
-        .select(F.col("conv_id").alias("gc"), "speaker", F.col("chunk").alias("gk"), F.coalesce(F.sum("less").over(by_speaker), F.lit(0)).alias("less_before"))
-    )
-    all_ = placed.join(grid, F.col("conv_id").eqNullSafe(F.col("gc")) & F.col("chunk").eqNullSafe(F.col("gk")))
+    own = t.groupBy(*chunk, F.col("role").alias("speaker")).agg(F.sum("less").alias("own"))
+    grid = own.select(*conv, "speaker").distinct().join(per_chunk.select(*chunk), conv)
+    by_speaker = W.partitionBy(*conv, "speaker").orderBy(*in_order).rowsBetween(W.unboundedPreceding, -1)
+    grid = grid.join(own, [*chunk, "speaker"], "left").select(*chunk, "speaker", F.coalesce(F.sum("own").over(by_speaker), F.lit(0)).alias("less_before"))
+    all_ = placed.join(grid, chunk)
     mine = (F.col("role") == F.col("speaker")).cast("int")
-    inside = W.partitionBy("conv_id", "chunk", "speaker").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy(*chunk, "speaker").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
     start = F.col("at") - F.col("less_before") - F.coalesce(F.sum(mine * F.col("less")).over(inside), F.lit(0))
     size = F.col("n_user") - mine * F.col("less")
     body = F.concat(F.lit(BODY), "text", F.lit(END))
     segment = F.when(mine == 1, F.concat(F.lit(ASSISTANT), body)).otherwise(F.concat(F.lit(USER + NAME), "role", F.lit(">"), body))
     target = F.when(F.col("mask") == 1, F.col("char_start") + len(ASSISTANT + BODY))
+    conv_id = F.when(~F.col("conv_id_null"), F.col("conv_id_")).alias("conv_id")
     return (
-        all_.select("conv_id", "speaker", "pos", "role", segment.alias("segment"), mine.alias("mask"), start.alias("char_start"), size.alias("size"))
+        all_.select(conv_id, "speaker", "pos", "role", segment.alias("segment"), mine.alias("mask"), start.alias("char_start"), size.alias("size"))
         .select("conv_id", "speaker", "pos", "role", "segment", "mask", "char_start", (F.col("char_start") + F.col("size")).alias("char_end"),
                 target.alias("target_start"), F.when(F.col("mask") == 1, F.col("char_start") + F.col("size")).alias("target_end"))
     )
