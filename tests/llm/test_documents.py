@@ -231,6 +231,16 @@ def test_substring_documents(spark):
     assert {r.doc_id: r.text for r in got.collect()} == {1: "first one", 2: "second  two", 3: "left  alone\n", 4: None}
 
 
+def test_sql(sf):
+    """The SQL of the three against brute force."""
+    import duckdb
+
+    con, rows = duckdb.connect(), documents(sf)
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for sql, expected in ((minhash.SQL, near_expected(rows, 4)), (suffix.SQL, suffix_expected(rows, 50)), (substring.SQL, window_expected(rows, 35))):
+        assert Counter(con.sql(sql).fetchall()) == expected
+
+
 # --- language, toxicity ------------------------------------------------------------
 
 

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecspark.llm.shared import sliced, uniform
+from vecspark.llm.shared import sliced, small_side, uniform
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -65,7 +65,7 @@ def train(rows: DataFrame, per_lang: int = PER_LANG, smoothing: float = 0.5) ->
     """
     rows = rows.select("doc_id", "text", "lang").where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
     totals = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    share = F.broadcast(totals.select("lang", (F.lit(float(per_lang)) / F.col("n")).alias("share"), "n"))
+    share = small_side(totals.select("lang", (F.lit(float(per_lang)) / F.col("n")).alias("share"), "n"))
     sample = rows.join(share, "lang").where(uniform("doc_id", 7) < F.col("share")).select("text", "lang")
 
     def count(batches):

@@ -126,7 +126,7 @@ def plan(sources: DataFrame, stage: Stage, block: int, shard: int, seed: int) ->
     n = n.withColumn("inner", inner).join(runs, (F.col("order") == F.col("o")) & (F.col("run") == F.col("r"))).drop("o", "r")
     slot = F.coalesce(F.sum("n").over(W.partitionBy("shard").orderBy("order").rowsBetween(*before)), F.lit(0))
     n = n.select("order", "shard", "n", (F.col("offset") + F.col("inner")).alias("first"), slot.alias("slot"))
-    n = _spread(n, "order", "shard").join(small_side(s.withColumnRenamed("order", "o")), F.col("order") == F.col("o")).drop("o")
+    n = _spread(n, "order", "shard").join(small_side(s.drop("source").withColumnRenamed("order", "o")), F.col("order") == F.col("o")).drop("o")
     j = n.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k")).withColumn("j", F.col("first") + F.col("k"))
     j = j.withColumn("pass", F.floor(F.col("j") / F.col("blocks"))).withColumn("at", F.col("j") % F.col("blocks"))
     j = j.withColumn("block", shuffled(F.col("at"), F.col("blocks"), [F.lit(seed), F.col("order"), F.col("pass")]))

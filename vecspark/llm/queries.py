@@ -66,4 +66,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat": chat.SQL, "op9_covertree": covertree.SQL}
+    return {"op5_minhash": minhash.SQL, "op6_suffix": suffix.SQL, "op7_substring": substring.SQL, "op8_chat": chat.SQL, "op9_covertree": covertree.SQL}

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import shutil
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vecspark.store import Stage, shared_dir
+
+__all__ = ["Stage", "shared_dir"]
+
 #: White space that separates words: space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -28,52 +28,8 @@ BROADCAST_ROWS = 500_000
 _LIBC = ctypes.CDLL(None)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``.
-
-    Where the session names none, a temporary one is made, in local mode only.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="vecspark-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-class Stage:
-    """Tables that cut the lineage of one operator run, in the shared folder.
-
-    A table is read again from its files, so that a lost executor loses no
-    step. ``drop`` deletes tables that no later step reads.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def write(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-        """The table, read from its files; with ``by``, in a folder for each value of that column."""
-        path = f"{self.root}/{name}"
-        writer = df.write.option("compression", "zstd")
-        (writer.partitionBy(by) if by else writer).parquet(path)
-        # Spark deletes the shuffle files of a finished job when the driver has collected the job's objects.
-        self.spark.sparkContext._jvm.System.gc()
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(conf).delete(path, True)
-
-
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it is counted to have few enough rows, else unchanged."""
+    """``df``, of rows of a few numbers, marked for broadcast if it is counted to have few enough rows, else unchanged."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 

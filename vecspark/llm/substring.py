@@ -219,3 +219,15 @@ def dedup(docs: DataFrame, window: int = WINDOW, base: int = BASE) -> DataFrame:
     joined = docs.join(rest, (F.xxhash64(text) == F.col("_h1")) & (F.xxhash64(F.lit(1), text) == F.col("_h2")), "left")
     kept = joined.where("_rest IS NULL OR _rest <> ''")
     return kept.select(*(F.coalesce("_rest", "text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+
+
+#: The query of every document, for tables that DuckDB can hold.
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, i, sha256(array_to_string(w[i:i + 34], ' ')) AS s FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+twice AS (SELECT s FROM win GROUP BY s HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM win WHERE s IN (SELECT s FROM twice)),
+word AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT word.r, count(*) FILTER (gone.p IS NOT NULL) AS n_removed, string_agg(x, ' ' ORDER BY word.p) FILTER (gone.p IS NULL) AS rest
+  FROM word LEFT JOIN gone ON word.r = gone.r AND word.p = gone.p GROUP BY word.r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256 FROM d LEFT JOIN kept ON d.r = kept.r"""

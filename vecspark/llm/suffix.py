@@ -350,3 +350,16 @@ def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         F.when(F.col("gone"), none).otherwise(F.coalesce("digest", "whole")).alias("kept_sha256"),
         F.when(F.col("gone"), F.lit("").cast("binary")).otherwise(F.col("rest")).alias("rest"),
     )
+
+
+#: The query of every document, for tables that DuckDB can hold.
+SQL = r"""
+WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS x FROM documents),
+str AS (SELECT doc_id, i, sha256(substr(x, 2 * i + 1, 100)) AS s FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 49)) AS i FROM d WHERE length(x) >= 100)),
+least AS (SELECT s, min(doc_id) AS m FROM str GROUP BY s HAVING min(doc_id) < max(doc_id)),
+mark AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, true) AS begins FROM str JOIN least USING (s) WHERE m < doc_id),
+run AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (SELECT *, sum(CASE WHEN begins THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM mark) GROUP BY doc_id, k),
+piece AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS start, a, b FROM run),
+cut AS (SELECT doc_id, count(*) AS spans, sum(b - a) AS removed, string_agg(substr(x, 2 * start + 1, 2 * (a - start)), '' ORDER BY a) AS head, max(b) AS last FROM piece JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN spans IS NULL THEN x ELSE head || substr(x, 2 * last + 1) END)) AS kept_sha256 FROM d LEFT JOIN cut USING (doc_id)"""
