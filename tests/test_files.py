@@ -95,6 +95,22 @@ def test_order_of_many_pieces(spark, tmp_path):
     assert got == [f"r{i}" for i in range(3000)]
 
 
+def test_rescue_and_missing_files(spark, folder, monkeypatch):
+    """Vectors that can't be written are saved elsewhere and the error stands; missing inputs have defaults."""
+    corpus = str(folder / "corpus.fasta")
+    with pytest.raises(OSError):
+        cli.main(["embed", "-i", corpus, "-o", "/proc/none/v.dat", "--rescue-dir", str(folder / "rescue")], spark)
+    assert vectors.read(spark, str(folder / "rescue" / "v.dat")).count() == 30
+    monkeypatch.chdir(folder)
+    with pytest.raises(FileNotFoundError):
+        cli.main(["embed", "-i", "missing.fasta", "-o", "d.dat"], spark)
+    (folder / "datasets").mkdir()
+    (folder / "datasets" / "swissprot_50k.fasta").write_text(">only\nMKVL\n")
+    monkeypatch.setattr(cli, "CORPUS", str(folder / "datasets" / "swissprot_50k.fasta"))
+    cli.main(["embed", "-i", "missing.fasta", "-o", str(folder / "d.dat")], spark)
+    assert [r.id for r in vectors.read(spark, str(folder / "d.dat")).collect()] == ["only"]
+
+
 def test_settings():
     args = cli.parser().parse_args(["search", "-d", "d", "-q", "q", "-o", "o", "-method", "all", "--lsh-w", "2.5", "--nlsh-epochs", "3"])
     assert cli.settings(args) == {"lsh": {"w": 2.5}, "hypercube": {}, "ivfflat": {}, "ivfpq": {}, "neural": {"epochs": 3}}

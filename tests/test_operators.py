@@ -67,6 +67,16 @@ def test_fallback_replaces_short_answers(corpus, queries):
     assert rows(model.search(queries, 10, fallback_exact=True)) == brute(corpus, queries, 10)
 
 
+def test_sizes_that_differ_are_errors(spark, corpus):
+    model = index.HypercubeIndex(index.HypercubeParams(3, 1.0, 1000, 8)).fit(corpus)
+    short = spark.createDataFrame([(1, [0.5] * 7)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="components|length|size"):
+        model.search(short, 3).collect()
+    with pytest.raises(Exception, match="length|shape|match|core"):
+        dense.exact_knn(short, corpus, 3).collect()
+    assert model.search(short.where("false"), 3).count() == 0 == dense.exact_knn(short.where("false"), corpus, 3).count()
+
+
 def test_model_is_written(spark, corpus, queries):
     """A fitted index is read from its files; a search doesn't hash the corpus again."""
     model = index.HypercubeIndex(index.HypercubeParams(3, 1.0, 1000, 8)).fit(corpus)

@@ -19,6 +19,8 @@ SETTINGS = {
     "neural": {"nlsh-m": "m", "nlsh-T": "T", "nlsh-epochs": "epochs", "nlsh-layers": "layers", "nlsh-nodes": "nodes", "nlsh-lr": "lr", "nlsh-batch-size": "batch_size"},
 }
 REALS = {"w", "lr"}
+#: Where queries and corpus are looked for if the given files are missing.
+QUERIES, CORPUS = "datasets/targets.fasta", "datasets/swissprot_50k.fasta"
 
 
 def _number(parameter: str, text: str):
@@ -49,6 +51,7 @@ def parser() -> argparse.ArgumentParser:
     e.add_argument("--batch-size", type=int, default=8)
     e.add_argument("--device", default="auto", choices=["auto", "cpu", "cuda"])
     e.add_argument("--overwrite", action="store_true")
+    e.add_argument("--rescue-dir", help="folder for vectors that can't be written to the output")
 
     s = commands.add_parser("search", help="methods against a ground truth, with a report")
     truth(s)
@@ -99,15 +102,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName(f"vecspark {args.command}").getOrCreate()
     if args.command == "embed":
-        n = files.embed_file(spark, args.input, args.output, args.model, args.batch_size, args.device, args.overwrite)
+        n = files.embed_file(spark, fasta.resolved(args.input, CORPUS), args.output, args.model, args.batch_size, args.device, args.overwrite, args.rescue_dir)
         print(f"{n} records: {args.output}")
     elif args.command in ("search", "grid"):
-        target = fasta.resolved(args.blast_fasta, args.blast_fasta) if args.blast_fasta and not args.hits else args.blast_fasta
+        queries = fasta.resolved(args.queries, QUERIES)
+        target = fasta.resolved(args.blast_fasta, CORPUS) if args.blast_fasta and not args.hits else None
         given = {"hits_path": args.hits, "targets": target, "folder": args.blast_db_dir, "name": args.embed_model, "device": args.embed_device, "batch_size": args.embed_batch_size}
         if args.command == "search":
-            files.search_files(spark, args.data, args.queries, args.output, args.method, args.recall_n, args.print_topk, args.seed, settings(args), args.one_by_one, **given)
+            files.search_files(spark, args.data, queries, args.output, args.method, args.recall_n, args.print_topk, args.seed, settings(args), args.one_by_one, **given)
         else:
-            files.grid_files(spark, args.data, args.queries, args.output, grids(args), args.recall_n, args.seed, **given)
+            files.grid_files(spark, args.data, queries, args.output, grids(args), args.recall_n, args.seed, **given)
         print(args.output)
     elif args.command == "analyze":
         print(*files.analyze_file(spark, args.input, args.out_dir, args.identity_threshold, args.require_not_in_blast), sep="\n")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecspark.functions.vectors import as_vector, drawn_bit, l2, l2_squared, pack_bits, projection, sub_vector
+from vecspark.functions.vectors import as_vector, drawn_bit, l2, l2_squared, pack_bits, projection, sub_vector, valid
 from vecspark.operators import clustering
 from vecspark.operators.clustering import KMeansParams
 from vecspark.operators.dense import collect_vectors, exact_knn, nearest_centroids, product_codes, rows_of, squared
@@ -50,10 +50,14 @@ def dimension(corpus: DataFrame, empty: int | None = None) -> int:
 
 
 def distances(candidates: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(query_id, neighbor_id, l2_dist) of candidate pairs (query_id, vec_id)."""
-    q = queries.select(F.col("vec_id").alias("query_id"), as_vector("embedding").alias("qv"))
-    x = corpus.select("vec_id", as_vector("embedding").alias("xv"))
-    both = candidates.join(x, "vec_id").join(_small(q, 8 * dimension(queries, 1) + 16), "query_id")
+    """(query_id, neighbor_id, l2_dist) of candidate pairs (query_id, vec_id); vectors of another size than the queries' are an error."""
+    d = dimension(queries, 0)
+    if d and dimension(corpus, d) != d:
+        raise ValueError("vectors of queries and corpus differ in length")
+    sized = (lambda v: valid(v, d)) if d else (lambda v: v)
+    q = queries.select(F.col("vec_id").alias("query_id"), sized(as_vector("embedding")).alias("qv"))
+    x = corpus.select("vec_id", sized(as_vector("embedding")).alias("xv"))
+    both = candidates.join(x, "vec_id").join(_small(q, 8 * d + 16), "query_id")
     return both.select("query_id", F.col("vec_id").alias("neighbor_id"), F.round(l2(F.col("qv"), F.col("xv")), DECIMALS).alias("l2_dist"))
 
 

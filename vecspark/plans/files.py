@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import time
 
@@ -21,8 +22,12 @@ def model(name: str, device: str = "auto"):
     return made(name, device) if made is ProteinModel else made()
 
 
-def embed_file(spark: SparkSession, source: str, target: str, name: str = "kmer", batch_size: int = 8, device: str = "auto", overwrite: bool = False) -> int:
-    """Embeds a FASTA file into a vector table (a target that ends in .parquet) or a numpy file; the number of records."""
+def embed_file(spark: SparkSession, source: str, target: str, name: str = "kmer", batch_size: int = 8, device: str = "auto", overwrite: bool = False, rescue: str | None = None) -> int:
+    """Embeds a FASTA file into a vector table (a target that ends in .parquet) or a numpy file; the number of records.
+
+    Where a numpy file can't be written, what there is of it goes, the vectors are
+    saved in the folder ``rescue``, if there is one, and the error is raised.
+    """
     if not overwrite and os.path.exists(target):
         raise FileExistsError(target)
     records = written(fasta.read_fasta(spark, source, ordered=True), "records")
@@ -35,8 +40,16 @@ def embed_file(spark: SparkSession, source: str, target: str, name: str = "kmer"
     rows = rows.select("row_idx", "id", "embedding")
     if target.endswith(".parquet"):
         vectors.write_table(rows, target, overwrite)
-    else:
+        return n
+    try:
         vectors.write_numpy(rows, target)
+    except OSError:
+        with contextlib.suppress(OSError):
+            os.remove(target)
+        if rescue:
+            os.makedirs(rescue, exist_ok=True)
+            vectors.write_numpy(rows, os.path.join(rescue, os.path.basename(target)))
+        raise
     return n
 
 
@@ -70,7 +83,7 @@ def inputs(spark: SparkSession, data: str, queries: str, hits_path: str | None =
             found = aligner.run(records, aligner.database(targets, folder or f"{os.path.dirname(targets) or '.'}/.db_cache"), n)
             found = written(found, "hits")
         except FileNotFoundError:
-            everything = fasta.read_fasta(spark, targets)
+            everything = fasta.read_fasta(spark, targets, ordered=True)
             found = written(alignment.align(alignment.seed_candidates(records, everything, 3, 1), records, everything), "hits")
         seconds = (time.perf_counter() - began) / asked.count()
     else:
