@@ -83,7 +83,7 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("r", ())) < n:
+    if len(_powers.get("r", ())) < max(n, 1):
         m = max(n, 1 << 16)
         for k, base in (("r", _R), ("inv", _RINV)):
             a = np.empty(m, np.uint64)
