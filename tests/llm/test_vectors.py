@@ -47,6 +47,21 @@ def test_cover_tree_edges(spark):
     assert [tuple(r) for r in few] == [(0, 1, 1, 1024 * 512)]
 
 
+@pytest.mark.parametrize("search", [lambda x: covertree.top_k(x, 20, 10), lambda x: forest.nearest(x, 20, 10)])
+def test_blocks_and_shards(spark, monkeypatch, search):
+    """Many blocks of queries and shards of rows: exact where the search is, and the same again."""
+    from vecspark.llm import vectors
+
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(vectors, "SHARD", 70)
+    rows = edge_rows()
+    got = answers(search(frame(spark, rows)))
+    assert got == answers(search(frame(spark, rows).repartition(9)))
+    if isinstance(got[0][3], int):
+        ids, x = usable(rows, 6, True)
+        assert got == sorted((q, r, i, int(s)) for q, r, i, s in full(ids, np.floor(1024 * x), 20, 10))
+
+
 def test_cover_tree_large_values(spark):
     rows = [(0, [1e9, 1.0]), (1, [1e9, 0.0]), (2, [-3e9, 5.0])]
     got = [tuple(r) for r in covertree.top_k(frame(spark, rows)).collect()]

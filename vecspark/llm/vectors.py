@@ -13,6 +13,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -71,6 +72,8 @@ def searched(data: DataFrame, d: int, n: int, step: int, k: int, score: str, pre
         parts = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards // 16))
         data = data.withColumn("shard", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(shards)).cast("int"))
         data = data.repartitionById(parts, F.col("shard") % parts).sortWithinPartitions("shard", "vec_id", "embedding")
+        if blocks > 1:  # dealt once for all blocks
+            data = data.persist(StorageLevel.DISK_ONLY)
     for b in range(blocks if d else 0):
         block = queries.where(F.col("block") == b).toArrow().combine_chunks()
         if not block.num_rows:
@@ -104,5 +107,7 @@ def searched(data: DataFrame, d: int, n: int, step: int, k: int, score: str, pre
         own = stage.write(data.select("shard", "vec_id", "embedding").mapInArrow(run, schema), f"block{b}")
         found = found.unionByName(own)
         sent.unpersist()
+    if d and blocks > 1:
+        data.unpersist()
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
