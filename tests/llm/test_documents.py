@@ -152,6 +152,35 @@ def test_minhash_pairs_grow_with_documents(spark, tmp_path):
     assert made[1][0] <= 2.5 * made[0][0] and made[1][1] <= 2.5 * made[0][1] + 300, made
 
 
+@pytest.mark.parametrize("few", [0, 1 << 19])
+def test_components(spark, tmp_path, monkeypatch, few):
+    """Chains, stars, rings and loose pairs, by steps over tables and in one task."""
+    import random
+
+    from vecspark.llm import components
+    from vecspark.llm.shared import Stage
+
+    monkeypatch.setattr(components, "FEW", few)
+    r = random.Random(4)
+    links = [(i, i + 1) for i in range(100, 140)] + [(500, 500 + i) for i in range(1, 60)] + [(900 - i, 900 - (i + 1) % 30) for i in range(30)]
+    links += [(r.randrange(2000, 2300), r.randrange(2000, 2300)) for _ in range(120)] + [(7, 7), (None, 8), (9, 9)]
+    r.shuffle(links)
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        if a is not None and a != b:
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    got = components.components(spark.createDataFrame(links, "a long, b long"), Stage(spark, "links")).collect()
+    assert Counter(map(tuple, got)) == Counter((x, root(x)) for x in parent)
+    assert components.components(spark.createDataFrame([], "a long, b long"), Stage(spark, "links")).count() == 0
+
+
 # --- suffixes and substrings -------------------------------------------------------
 
 
