@@ -11,6 +11,8 @@ import uuid
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of texts or vectors that a Python task holds at a time.
+BATCH = 2048
 _roots: list[str] = []
 
 
@@ -57,11 +59,20 @@ class Stage:
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         _roots.append(self.root)
 
-    def write(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-        """The table, read from its files; with ``by``, in a folder for each value of that column."""
-        path = f"{self.root}/{name}"
+    def write(self, df: DataFrame, name: str, by: str | None = None, batch: int = BATCH) -> DataFrame:
+        """The table, read from its files; with ``by``, in a folder for each value of that column.
+
+        Python tasks get ``batch`` rows at a time meanwhile, if the session gives them more.
+        """
+        path, key = f"{self.root}/{name}", "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(key)
         writer = df.write.option("compression", "zstd")
-        (writer.partitionBy(by) if by else writer).parquet(path)
+        try:
+            if not 0 < int(before) <= batch:
+                self.spark.conf.set(key, str(batch))
+            (writer.partitionBy(by) if by else writer).parquet(path)
+        finally:
+            self.spark.conf.set(key, before)
         # Spark deletes the shuffle files of a finished job when the driver has collected the job's objects.
         self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
