@@ -240,7 +240,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) whose sets have 100 * intersection >= threshold * union."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, "x"):
             keep = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
