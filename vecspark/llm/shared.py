@@ -19,7 +19,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
 #: Bytes of text that a Python task works on at a time; a longer text is worked on alone.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 #: Rows up to which a side of (id, small value) rows is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
