@@ -6,9 +6,12 @@ drawn as the indexes draw them.
 
 from __future__ import annotations
 
+import re
+
 from vecspark.functions.text import MAX_RESIDUES, NUMBER
 from vecspark.operators import index
 from vecspark.plans import queries as q
+from vecspark.plans import search
 
 DIM = 64
 BASE = f"""x AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
@@ -109,6 +112,18 @@ def _methods() -> str:
     ))
 
 
+def _sweep() -> str:
+    """The recall of each configuration of the sweep."""
+    parts, rows = [BASE, HITS, TRUTH], []
+    for i, config in enumerate(search.configurations(q.SWEEP)):
+        named = lambda text, i=i: re.sub(r"\b(post|probe)\b", rf"\g<1>_{i}", text)
+        parts += [named(_lsh(index.LshParams(**(search.GRID_DEFAULTS["lsh"] | config)))), _ranked(named(JOINED), q.N, f"_{i}")]
+        shared = f"(SELECT count(*) FROM r_{i} a JOIN truth t ON a.query_id = t.query_id AND a.neighbor_id = t.neighbor_id WHERE a.query_id = q.query_id)"
+        columns = ", ".join(f"'{v}' AS param_{k}" for k, v in config.items())
+        rows.append(f"SELECT 'lsh' AS method, {q.N} AS recall_n, round(avg({shared} / CAST({q.N} AS DOUBLE)), 6) AS avg_recall, {columns} FROM q")
+    return _with(*parts) + " UNION ALL ".join(rows)
+
+
 def _figures() -> str:
     return _methods() + f""",
 names AS (SELECT * FROM (VALUES (1, 'exact'), (2, 'hypercube'), (3, 'ivfflat'), (4, 'lsh')) n(position, method)),
@@ -209,6 +224,7 @@ SELECT a.doc_id AS qseqid, b.doc_id AS sseqid, count(*) AS shared FROM k a JOIN
         "masked_mean": _with(BASE) + """SELECT label, CAST(p - 1 AS INTEGER) AS p, round(sum(e * m) / greatest(sum(m), 1), 8) AS x FROM (
   SELECT label, CASE WHEN vec_id % 2 = 0 THEN 1.0 ELSE 0.0 END AS m, unnest(v) AS e, generate_subscripts(v, 1) AS p FROM x) GROUP BY label, p""",
         "search_pipeline": None,
+        "grid_search": _sweep(),
         "ivf_pq_trained_checked": f"SELECT vec_id AS query_id, true AS whole, true AS once, true AS ranked, true AS exact FROM embeddings WHERE vec_id % {q.STEP} = 0",
         "neural_search_checked": f"SELECT vec_id AS query_id, true AS whole, true AS once, true AS ranked, true AS exact FROM embeddings WHERE vec_id % {q.STEP} = 0",
         "kmeans_fit_checked": f"SELECT count(*) AS n, {q.LLOYD_K} AS clusters, true AS closer, true AS at_rest FROM embeddings",

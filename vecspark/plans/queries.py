@@ -26,6 +26,7 @@ LSH = index.LshParams(k=3, L=4, w=1.0, seed=1)
 NARROW = index.LshParams(k=4, L=2, w=0.6, seed=2)
 COMPAT = index.LshParams(k=3, L=2, w=1.0, seed=3, key_mode="last_hash")
 CUBE = index.HypercubeParams(kproj=6, w=1.0, M=60, probes=8, seed=1)
+SWEEP = {"k": [2, 3], "w": [1.0]}
 METHODS = ("exact", "hypercube", "ivfflat", "lsh")
 NPROBE, PARTS, WORDS, LLOYD_K, SEED = 3, 8, 16, 8, 1
 
@@ -395,7 +396,7 @@ def masked_mean(spark, d):
 
 def grid_search(spark, d):
     rows = corpus(spark, d)
-    out = search.grid_search(rows, asked(rows), hits(rows), "lsh", {"k": [2, 3], "w": [1.0]}, N)
+    out = search.grid_search(rows, asked(rows), hits(rows), "lsh", SWEEP, N)
     return out.select("method", "recall_n", F.round("avg_recall", 6).alias("avg_recall"), F.col("params")["k"].alias("param_k"), F.col("params")["w"].alias("param_w"))
 
 
